@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -67,7 +68,7 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def hot_free_rows(batch: pa.RecordBatch, size: int = 512) -> Iterator[pa.RecordBatch]:
-    """A batch in pieces of a few rows, so that Python objects of few texts live at a time."""
-    for i in range(0, batch.num_rows, size):
-        yield batch.slice(i, size)
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
