@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from undula.llm import boosting, chat, decontam, lattice, packing, pii, rules, simhash, store
+from undula.llm import boosting, chat, decontam, lattice, packing, pii, rules, simhash, store, wrappers
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
         "op2_chat": chat.op2_chat,
+        "op3_html": wrappers.op3_html,
         "op4_pii": pii.op4_pii,
         "op5_lattice": lattice.op5_lattice,
         "op6_decontamination": decontam.op6_decontamination,

@@ -23,7 +23,7 @@ from undula.llm.common import cut, map_batches, table, text_column
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Each ratio with the sides on which a document may lie too far out, and the slack that its fence always leaves.
-RATIOS = {"mean_word": ("both", 2.0), "symbols": ("high", 0.05), "dup_lines": ("high", 0.3), "repeats": ("high", 0.1)}
+RATIOS = {"mean_word": ("both", 2.0), "symbols": ("high", 0.05), "dup_lines": ("high", 0.3), "repeats": ("high", 0.3)}
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 _SPACES = b" \t\n\x0b\x0c\r"
 

@@ -130,11 +130,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: in
 
 
 def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
-    """One row of each group: the one with the smallest doc_id; of rows that share it, each stays only once."""
+    """One row of each group: the one with the smallest doc_id, of rows that share it one with the least text. Rows
+    without an id can't be named and stay. All columns stay."""
     groups = near_duplicates(docs, shingle, radius, seed)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    once = docs.join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
-    return once.dropDuplicates(["doc_id"])
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.filter(F.col("doc_id").isNotNull())
+    chosen = named.join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
+    one = chosen.groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
