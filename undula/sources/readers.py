@@ -60,7 +60,7 @@ def events_by(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     """The event table as series by event_type or user_id; time in seconds from a series' first event."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col(key).cast("string").alias("channel"), "ts", "event_id", "value")
     first = F.min("ts").over(Window.partitionBy("channel"))
-    seconds = (F.unix_micros("ts") - F.unix_micros(first)) / 1e6
+    seconds = F.timestamp_diff("MICROSECOND", first, F.col("ts")) / 1e6
     return _numbered(e, ["channel"], ["ts", "event_id"]).select(F.lit("events").alias("dataset"), "channel", "sample_index", seconds.alias("time"), "value")
 
 
