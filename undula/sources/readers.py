@@ -18,6 +18,7 @@ def read_raw(spark: SparkSession, folder: str) -> DataFrame:
         .option("sep", "\t")
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
+        .option("columnPruning", False)  # else a row with too many fields passes where few columns are asked for
         .option("pathGlobFilter", "*.txt")
         .csv(folder)
     )
