@@ -12,7 +12,6 @@ their own, with the same id once; an empty benchmark leaves every document clean
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -173,6 +172,17 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def clean_text(text: str, windows: WindowSet) -> tuple[str, int]:
+    """The text without hit spans, and how many words went. Words that come together are looked at again, until nothing is hit."""
+    gone = 0
+    while True:
+        spans, _ = windows.scan(item_words(text))
+        if not spans:
+            return text, gone
+        gone += sum(b - a for a, b in spans)
+        text = cut_spans(text, spans)
+
+
 def remove_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float = 0.5, block_chars: int = 32_000_000) -> DataFrame:
     """Documents without their hit spans; those of which over drop_share of the words are hit go. All columns stay."""
     spark = docs.sparkSession
@@ -189,10 +199,9 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share:
                     part = batch.slice(at, 256)
                     keep, texts = [], []
                     for text in part.column(place).to_pylist():
-                        words = item_words(text)
-                        spans, _ = windows.scan(words)
-                        keep.append(sum(b - a for a, b in spans) <= drop_share * len(words))
-                        texts.append(text if text is None else cut_spans(text, spans))
+                        clean, gone = clean_text(text or "", windows)
+                        keep.append(not gone or gone <= drop_share * len(item_words(text)))
+                        texts.append(clean if gone else text)
                     cols = part.columns
                     cols[place] = pa.array(texts, pa.string())
                     yield pa.RecordBatch.from_arrays(cols, names=part.schema.names).filter(pa.array(keep))

@@ -206,14 +206,18 @@ def find_spans(docs: DataFrame, terms: DataFrame | None = None, reach: int = 3,
 
 
 def sanitise_text(text: str, spans: list[tuple[str, int, int]], remove_terms: bool) -> str:
-    out, at = [], 0
-    for kind, a, b in spans:
-        if b <= at:
-            continue
-        if a >= at:
-            out += [text[at:a], "" if kind == "term" and remove_terms else f"[{kind.upper()}]"]
-        at = b
-    return "".join([*out, text[at:]])
+    """The text with its spans generalised; what comes to look like personal data by that is too."""
+    while spans:
+        out, at = [], 0
+        for kind, a, b in spans:
+            if b <= at:
+                continue
+            if a >= at:
+                out += [text[at:a], "" if kind == "term" and remove_terms else f"[{kind.upper()}]"]
+            at = b
+        text = "".join([*out, text[at:]])
+        spans = [(KINDS[k], a, b) for k, a, b in spans_of(text)]
+    return text
 
 
 def sanitise(docs: DataFrame, reach: int = 3, disclosure: float = 0.9, min_values: int = 10, remove_terms: bool = False, max_terms: int = 500_000) -> DataFrame:
