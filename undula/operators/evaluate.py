@@ -56,10 +56,11 @@ def channel_consistency(accepted: DataFrame, signal: DataFrame, tolerance: float
     """
     e = accepted.select("dataset", "channel", "event_id", "peak_time")
     w = Window.partitionBy("dataset").orderBy("peak_time", "channel", "event_id")
+    back = Window.partitionBy("dataset").orderBy(F.desc("peak_time"), F.desc("channel"), F.desc("event_id"))
     e = e.withColumn("prev", F.lag(F.struct("channel", "peak_time")).over(w)).withColumn("next", F.lead(F.struct("channel", "peak_time")).over(w))
     starts = F.when(F.col("prev.channel") != F.col("channel"), F.col("prev.peak_time"))
     ends = F.when(F.col("next.channel") != F.col("channel"), F.col("next.peak_time"))
-    e = e.withColumn("before", F.last(starts, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("after", F.first(ends, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    e = e.withColumn("before", F.last(starts, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("after", F.last(ends, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     near = F.coalesce((F.col("peak_time") - F.col("before") <= tolerance) | (F.col("after") - F.col("peak_time") <= tolerance), F.col("peak_time") - F.col("before") <= tolerance, F.col("after") - F.col("peak_time") <= tolerance, F.lit(False))
     counts = e.groupBy("dataset").agg(F.count("*").alias("n_events"), F.count_if(near).alias("events_with_cross_channel_support"))
     channels = signal.groupBy("dataset").agg(F.count_distinct("channel").alias("n_channels"))

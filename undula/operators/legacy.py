@@ -47,11 +47,10 @@ def analyse_regions(regions: DataFrame, signal: DataFrame, n: int = 100, ratio:
     quiet = own_rows(quiet.withColumn("ok", (F.count("*").over(f) == confirmation) & (F.max(away).over(f) <= 2.0 * F.col("baseline_std")))).filter("ok")
     quiet = quiet.select(*SERIES, F.col("sample_index").alias("at"), F.struct("sample_index", "time").alias("q"))
     asked = recovery.select(*SERIES, "method", "start_index", "r", F.col("r.sample_index").alias("at"))
-    line = Window.partitionBy(*SERIES).orderBy("at", F.col("q").isNull()).rowsBetween(0, Window.unboundedFollowing)
+    back = Window.partitionBy(*SERIES).orderBy(F.desc("at"), F.col("q").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     both = asked.unionByName(quiet, allowMissingColumns=True)
-    # The quiet sample at the recovery itself comes before it in this order, so it is looked up apart.
-    here = F.first("q", ignorenulls=True).over(Window.partitionBy(*SERIES, "at"))
-    ends = both.withColumn("end", F.coalesce(here, F.first("q", ignorenulls=True).over(line))).filter("method IS NOT NULL")
+    # From behind, a quiet sample at the recovery itself comes before it.
+    ends = both.withColumn("end", F.last("q", ignorenulls=True).over(back)).filter("method IS NOT NULL")
     ends = ends.select(*keys, "start_index", "r", F.coalesce("end", "r").alias("end"))
     times = signal.select(*SERIES, F.col("sample_index").alias("start_index"), F.col("time").alias("start_time"))
     last = signal.select(*SERIES, F.col("sample_index").alias("end_index"), F.col("time").alias("region_end_time"))

@@ -54,7 +54,8 @@ def split_groups(groups: DataFrame, min_gap: int = 20) -> DataFrame:
     region = F.struct("island_rank", "method", "method_rank", "region_idx", "start_index", "end_index")
     both = groups.select(*keys, F.col("start_index").alias("at"), F.lit(0).alias("kind"), region.alias("region")).unionByName(marks, allowMissingColumns=True)
     line = w.orderBy("at", "kind")
-    both = both.withColumn("after", F.first("zone", ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing)))
+    back = w.orderBy(F.desc("at"), F.desc("kind"))
+    both = both.withColumn("after", F.last("zone", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     both = both.withColumn("before", F.last("zone", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))).filter("kind = 0")
     picked = both.select(*keys, "region.*", "after", "before")
 

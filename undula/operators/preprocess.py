@@ -21,16 +21,19 @@ def clean(df: DataFrame, size: int = SAMPLES) -> DataFrame:
     known = F.when(F.col("value").isNotNull(), F.struct(F.col("sample_index").alias("i"), F.col("value").alias("v")))
     edges = base.groupBy(*SERIES, "block").agg(F.max(known).alias("last"), F.min(known).alias("first"))
     across = Window.partitionBy(*SERIES).orderBy("block")
+    back = Window.partitionBy(*SERIES).orderBy(F.desc("block"))
     edges = edges.select(
         *SERIES,
         "block",
         F.last("last", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-        F.first("first", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
+        F.last("first", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("after"),
     )
+    # A frame that ends at the partition's end costs the square of its rows; the same from behind is one pass.
     inside = Window.partitionBy(*SERIES, "block").orderBy("sample_index")
+    backwards = Window.partitionBy(*SERIES, "block").orderBy(F.desc("sample_index"))
     filled = base.join(edges, [*SERIES, "block"]).withColumn("known", known)
     left = F.coalesce(F.last("known", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("before"))
-    right = F.coalesce(F.first("known", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)), F.col("after"))
+    right = F.coalesce(F.last("known", ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, 0)), F.col("after"))
     filled = filled.withColumn("l", left).withColumn("r", right)
     share = (F.col("sample_index") - F.col("l.i")) / (F.col("r.i") - F.col("l.i"))
     value = (
