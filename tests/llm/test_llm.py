@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from undula.llm import boosting, chat, decontam, lattice, packing, pii, queries, rules, simhash, store, tokens, wrappers
+from undula.llm import boosting, chat, decontam, jaccard, lattice, packing, pii, queries, rules, simhash, store, tokens, wrappers
 from undula.llm.common import new_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, end string, ids string"
@@ -362,6 +362,48 @@ def test_deduplicate_odd_rows(spark, odd, none):
     assert simhash.deduplicate(none).count() == 0
 
 
+def brute_shingles(text):
+    ws = (text or "").encode().lower().split()
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+
+def test_near_copies_by_shingles_equal_brute_force(spark, sf_dir, documents, odd, none):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    text = {r["doc_id"]: r["text"] for r in documents}
+    for c in range(12):  # groups of edited copies on both sides of the threshold
+        ws = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(20, 200))]
+        for k in range(12):
+            copy = list(ws)
+            for _ in range(rng.randint(0, max(1, len(ws) // 30))):
+                copy[rng.randrange(len(ws))] = f"x{rng.randrange(5000)}"
+            text[10_000 + 100 * c + k] = " ".join(copy)
+    df = spark.createDataFrame([(i, t, "z") for i, t in text.items()] + [(None, "no id", "z")], "doc_id long, text string, id string")
+    got = corpus_pipeline.near_duplicates(spark, df, sf_dir)
+    assert got.columns == df.columns
+    kept = {r["doc_id"] for r in got.collect()}
+    sets = {i: brute_shingles(t) for i, t in text.items()}
+    like = defaultdict(set)
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and 5 * len(a & b) >= 4 * len(a | b):
+                like[i].add(j)
+                like[j].add(i)
+    assert sum(map(len, like.values())) > 500 and None in kept
+    assert not any(j in kept for i in kept - {None} for j in like[i])
+    reached = set()
+    for i in sorted(kept - {None}):
+        todo = [i]
+        while todo:
+            for j in like[todo.pop()] - reached - kept:
+                reached.add(j)
+                todo.append(j)
+    assert reached == set(text) - kept
+    assert sorted(str(r["doc_id"]) for r in jaccard.deduplicate(odd).collect()) == ["1", "3", "4", "7", "None"]
+    assert jaccard.deduplicate(none).count() == 0
+
+
 # quality rules
 
 

@@ -1,0 +1,164 @@
+"""Near-duplicates by the Jaccard similarity of word shingles, found exactly by prefix filtering.
+
+A text is the set of the hashes of its runs of `size` words. All sets are put in one order, shingles of many documents (counted on a
+sample) last. Two sets of which the similarity reaches the threshold t have one of the first n - ceil(t n) + 1 shingles of each in
+common, whatever the order is, so no such pair is missed; the order only decides how many others are looked at. What
+lies before the first common shingle and the sets' sizes bound the similarity; every pair that is left is compared exactly.
+
+Equal texts are one from the start. Two rounds compare the documents of a shingle with one of them each and take out what is linked, so that
+large groups of copies shrink without their pairs being listed; then all pairs of what remains are looked at.
+
+Defined results: no two documents that stay reach the threshold; each that goes is linked, maybe over others, to one that stays
+and has a smaller id. Null text is empty, empty texts are equal; a text of up to `size` words is one shingle. Rows without an id can't be
+named and stay, without a part in the groups; of rows that share an id one with the least text stands for it. All columns stay.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+from functools import lru_cache
+from hashlib import blake2b
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from undula.llm.common import cut, map_batches, release, text_column, words
+from undula.llm.simhash import components
+
+#: One document in so many is looked at for common shingles; those in at least COMMON of these documents count as common.
+SAMPLE, COMMON = 16, 0.001
+
+
+def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
+    """The hashes of the shingles, sorted, each once."""
+    from xxhash import xxh64_intdigest
+
+    ws = words(text or "")
+    if len(ws) <= size:
+        return np.array([xxh64_intdigest(b" ".join(ws))] if ws else [], dtype=np.uint64)
+    shingles = map(b" ".join, zip(*(ws[i:] for i in range(size)), strict=False))
+    return np.unique(np.fromiter(map(xxh64_intdigest, shingles), dtype=np.uint64, count=len(ws) - size + 1))
+
+
+def similar(a: np.ndarray, b: np.ndarray, t: Fraction) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * t.denominator >= t.numerator * (len(a) + len(b) - both)
+
+
+def prefix(h: np.ndarray, common: np.ndarray, rank: np.ndarray, t: Fraction) -> np.ndarray:
+    """The first shingles in the common order, of which similar sets share one. `common` is sorted, with its rank beside it."""
+    n = len(h)
+    place = np.zeros(n, dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        place = np.where(common[at] == h, rank[at], 0)
+    return h[np.lexsort((h, place))][: n - -(-t.numerator * n // t.denominator) + 1]
+
+
+def _distinct_texts(docs: DataFrame) -> DataFrame:
+    """id, text: of documents with equal words the one with the least id."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [blake2b(b" ".join(words(t)), digest_size=16).digest() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.binary())], ["id", "sum"])
+
+    heads = map_batches(docs, ["id", "text"], "id long, sum binary", rows).groupBy("sum").agg(F.min("id").alias("id")).select("id")
+    return cut(docs.join(heads, "id", "left_semi"), "jaccard-texts")
+
+
+def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    sample = texts.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                sets = [shingle_set(t, size) for t in batch.column(1).slice(at, 512).to_pylist()]
+                keys, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    least = max(3, int(COMMON * sample.count()))
+    counted = map_batches(sample, ["id", "text"], "key long, n long", rows).groupBy("key").agg(F.sum("n").alias("n"))
+    found = counted.filter(F.col("n") >= least).collect()
+    keys = np.array([r[0] for r in found], dtype=np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array([r[1] for r in found], dtype=np.int64)[order]
+
+
+def _keyed(texts: DataFrame, size: int, t: Fraction) -> DataFrame:
+    """id, n, pos, key: the shingles of each prefix that another document has in its own, with their places and the set's size."""
+    shared = texts.sparkSession.sparkContext.broadcast(_common(texts, size))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(x, size) for x in part.column(1).to_pylist()]
+                firsts = [prefix(h, *shared.value, t) if len(h) else h for h in sets]
+                often = [len(f) for f in firsts]
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(sets)), often)))
+                n = np.repeat(np.array([len(h) for h in sets], dtype=np.int32), often)
+                pos = np.concatenate([np.arange(k, dtype=np.int32) for k in often])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(pos), pa.array(np.concatenate(firsts).view(np.int64))], ["id", "n", "pos", "key"])
+
+    every = map_batches(texts, ["id", "text"], "id long, n int, pos int, key long", rows)
+    held = every.withColumn("k", F.count("*").over(Window.partitionBy("key"))).filter("k > 1").drop("k")
+    return cut(held, "jaccard-keys")
+
+
+def _possible(a: str, b: str, t: Fraction) -> Column:
+    """Whether sizes and places allow the similarity, if the shingle is the first that the sets share."""
+    na, nb = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
+    rest = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
+    return (rest * (t.numerator + t.denominator) >= (na + nb) * t.numerator) & (F.least(na, nb) * t.denominator >= F.greatest(na, nb) * t.numerator)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, t: Fraction) -> DataFrame:
+    """The pairs (a, b) whose texts are similar."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lru_cache(64)(lambda x: shingle_set(x, size))
+        for batch in batches:
+            ok = [similar(known(x.as_py()), known(y.as_py()), t) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    return cut(map_batches(both, ["a", "b", "ta", "tb"], "a long, b long", rows), "jaccard-links")
+
+
+def kept_ids(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """id of the documents (id, text; ids unique and known) that stay."""
+    t = Fraction(str(similarity))
+    texts = _distinct_texts(docs)
+    left = _keyed(texts, size, t)
+    # Only texts that share a shingle are ever compared.
+    compared = cut(texts.join(left.select("id").distinct(), "id", "left_semi"), "jaccard-compared")
+    gone = None
+    for turn in range(3):
+        if turn < 2:
+            first = F.col("id") if turn == 0 else F.xxhash64("id", "key")
+            heads = left.groupBy("key").agg(F.min_by(F.struct("id", "n", "pos"), first).alias("head")).select("key", "head.*")
+        else:
+            heads = left
+        met = left.alias("x").join(heads.alias("y"), "key").filter((F.col("x.id") > F.col("y.id")) if turn == 2 else (F.col("x.id") != F.col("y.id"))).filter(_possible("x", "y", t))
+        pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+        out = components(_verified(pairs, compared, size, t)).filter("node <> root").select(F.col("node").alias("id"))
+        release(docs.sparkSession)
+        gone = out if gone is None else gone.unionByName(out)
+        if turn < 2:
+            left = cut(left.join(out, "id", "left_anti"), "jaccard-keys")
+    return cut(texts.select("id").join(gone, "id", "left_anti"), "jaccard-kept")
+
+
+def deduplicate(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents without near copies of others that stay."""
+    named = docs.filter(F.col("doc_id").isNotNull())
+    if not named.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").isEmpty():
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        named = cut(named.groupBy("doc_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row")).select("row.*"), "one-per-id")
+    ids = kept_ids(text_column(named.select(F.col("doc_id").cast("long").alias("id"), "text")), size, similarity)
+    chosen = named.join(ids.withColumnRenamed("id", "kept_id"), F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
+    return chosen.unionByName(docs.filter(F.col("doc_id").isNull()))
