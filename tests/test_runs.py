@@ -136,6 +136,21 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     assert sorted(str([r[c] for c in order]) for r in got.collect()) == sorted(str([dict(zip(columns, r, strict=True))[c] for c in order]) for r in want.fetchall())
 
 
+def test_overlap_all_equals_every_pair_by_position(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    rows = queries._three(spark, sf_dir).collect()
+    a, b = ([r for r in rows if r["method"] == m] for m in ("threshold", "derivative"))
+    want = set()
+    for x in a:
+        for y in b:
+            apart = max(x["start_index"], y["start_index"]) - min(x["end_index"], y["end_index"]) - 1
+            if x["channel"] == y["channel"] and apart <= 5:
+                shorter = min(r["end_index"] - r["start_index"] + 1 for r in (x, y))
+                want.add((x["channel"], x["region_idx"], y["region_idx"], round(max(0, -apart) / shorter, 6), True))
+    got = [tuple(r) for r in queries.m_overlap_all(spark, sf_dir).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and max(r[1] for r in got) >= 40
+
+
 def test_entry_without_the_training_data_part(tmp_path):
     """The entry module imports, and has the signal queries, where that part isn't there."""
     for f in ("__spark_entry__.py", "undula"):

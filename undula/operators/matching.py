@@ -19,6 +19,21 @@ def samples_of(events: DataFrame, samples: DataFrame, low: str = "start_index",
     return dealt.join(s, [*keys, "bucket"]).filter(F.col("sample_index").between(F.col(low), F.col(high))).drop("bucket")
 
 
+def meeting(a: DataFrame, b: DataFrame, tolerance: int = 5, keys: list[str] = SERIES) -> DataFrame:
+    """Each pair of a region of a and one of b that overlap or have at most `tolerance` samples between, once: keys, a and b (structs). A
+    pair is found in the first bucket that both reach."""
+    wide = tolerance + 1
+
+    def dealt(regions: DataFrame, name: str, more: int) -> DataFrame:
+        low, high = F.floor((F.col("start_index") - more) / BUCKET), F.floor((F.col("end_index") + more) / BUCKET)
+        return regions.filter("start_index <= end_index").select(*keys, F.struct(*[c for c in regions.columns if c not in keys]).alias(name), F.explode(F.sequence(low, high)).alias("bucket"))
+
+    both = dealt(a, "a", wide).join(dealt(b, "b", 0), [*keys, "bucket"])
+    first = F.floor(F.greatest(F.col("a.start_index") - wide, F.col("b.start_index")) / BUCKET)
+    near = (F.col("b.start_index") <= F.col("a.end_index") + wide) & (F.col("b.end_index") >= F.col("a.start_index") - wide)
+    return both.filter(near & (F.col("bucket") == first)).drop("bucket")
+
+
 def match_groups(regions: DataFrame, tolerance: int = 5) -> DataFrame:
     """Adds island, the group of regions linked by at most `tolerance` samples between, and island_rank, its place by the
     first detector's first region."""

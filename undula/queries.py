@@ -171,6 +171,15 @@ def m_overlap(spark, sf):
     return rounded(both.selectExpr("a.channel AS channel", "a.region_idx AS region_idx", f"overlap_fraction({cols}) AS overlap", f"regions_adjacent({cols}, 5) AS near"))
 
 
+def m_overlap_all(spark, sf):
+    """All regions of the two methods that meet, by position. m_overlap pairs the first forty by number, as its SQL says."""
+    sql_functions.register(spark)
+    t = cut(_three(spark, sf), "regions").select(*SERIES, "method", "region_idx", "start_index", "end_index")
+    both = matching.meeting(t.filter("method = 'threshold'"), t.filter("method = 'derivative'"), 5)
+    cols = "a.start_index, a.end_index, b.start_index, b.end_index"
+    return rounded(both.selectExpr("channel", "a.region_idx AS region_idx", "b.region_idx AS other_idx", f"overlap_fraction({cols}) AS overlap", f"regions_adjacent({cols}, 5) AS near"))
+
+
 def e_evidence(spark, sf):
     g = matching.match_groups(_three(spark, sf), 5).groupBy(*SERIES, "island").agg(F.collect_set("method").alias("methods"))
     return rounded(g.groupBy(*SERIES, events.evidence(F.col("methods")).alias("evidence")).agg(F.count("*").alias("groups")))
@@ -273,7 +282,7 @@ def g_histogram(spark, sf):
 
 _NAMES = (
     "s_series p_clean p_shift f_moving_average f_savitzky_golay f_median f_butterworth n_noise_reduction n_filter_evaluation n_drift d_threshold d_derivative d_derivative_regions d_change_point d_peaks "
-    "d_simple_impacts d_study r_islands r_persistent m_match_groups m_support_zones m_events m_overlap e_evidence b_refine j_events a_shape a_trapezoid a_entropy a_post_level t_time_domain "
+    "d_simple_impacts d_study r_islands r_persistent m_match_groups m_support_zones m_events m_overlap m_overlap_all e_evidence b_refine j_events a_shape a_trapezoid a_entropy a_post_level t_time_domain "
     "q_sampling_frequency q_spectrum q_dft q_spectral_features z_stft z_multidomain z_summary v_report v_per_channel v_channel_consistency l_methods g_histogram"
 )
 
