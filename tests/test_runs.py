@@ -136,6 +136,12 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     assert sorted(str([r[c] for c in order]) for r in got.collect()) == sorted(str([dict(zip(columns, r, strict=True))[c] for c in order]) for r in want.fetchall())
 
 
+def test_post_level_measures_every_region(spark, sf_dir):
+    got = {r["event_id"] for r in queries.a_post_level(spark, sf_dir).collect()}
+    regions = queries._user_regions(spark, sf_dir).collect()
+    assert got == {f"events-{r['channel']}-{r['region_idx']:03d}" for r in regions}
+
+
 def test_overlap_all_equals_every_pair_by_position(spark):
     sf_dir = "/root/testdata/sf0.01"
     rows = queries._three(spark, sf_dir).collect()

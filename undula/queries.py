@@ -212,7 +212,7 @@ def a_entropy(spark, sf):
 
 def a_post_level(spark, sf):
     s = readers.ev_user(spark, sf)
-    r = cut(_user_regions(spark, sf), "regions").filter("region_idx % 3 = 0").withColumn("event_id", F.format_string("%s-%s-%03d", *SERIES, "region_idx"))
+    r = cut(_user_regions(spark, sf), "regions").withColumn("event_id", F.format_string("%s-%s-%03d", *SERIES, "region_idx"))
     # Regions of one series are kept apart by making each series its own dataset.
     r, s = (x.withColumn("dataset", F.col("channel")) for x in (r, s))
     return rounded(features.post_level(r, s).select("event_id", "post_impact_level", "residual_n_samples", "residual_reason"))
