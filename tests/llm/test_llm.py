@@ -436,6 +436,19 @@ def test_rules_keep_clean_and_drop_odd(spark, odd, none):
     assert rules.judge(odd).count() == len(ODD) and rules.judge(none).count() == 0
 
 
+def test_quantiles_set_the_limits_of_the_rules(spark):
+    rng = random.Random(4)
+    words = ["lorem", "ipsum", "dolor", "sit", "amet", "consectetur", "elit", "sed"]
+    lines = lambda k: "\n".join(" ".join(rng.choices(words, k=10)) for _ in range(k))
+    copied = "\n".join([lines(20), *["sed elit amet sit lorem"] * 10])  # nine of its thirty lines
+    block = " ".join(rng.choices(words, k=12))
+    repeated = " ".join([lines(18), block, block])  # under 30 % of its words
+    rows = [(i, lines(20), "en", "s") for i in range(300)] + [(900, copied, "en", "s"), (901, repeated, "en", "s")]
+    got = {r["doc_id"]: r for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert 0 < got[901]["n_repeat_words"] and not got[901]["base_failed"] and not got[901]["kept"]
+    assert not got[900]["base_failed"] and not got[900]["kept"] and sum(got[i]["kept"] for i in range(300)) == 300
+
+
 # quality classifier
 
 

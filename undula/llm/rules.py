@@ -1,8 +1,9 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
 Whole-text statistics become ratios; KLL sketches of each ratio are built per language and source, merged to one per
-language and one of all, and give quartiles. The threshold of a group is a fence `fence` interquartile ranges beyond its
-quartiles, and at least `slack` beyond the middle; a group with fewer than `min_rows` documents takes its language's, and a
+language and one of all, and give quantiles. The threshold of a group is a fence `fence` interquartile ranges beyond its
+quartiles; where these are equal, as for ratios that are 0 in most documents, it is the 0.99 quantile (or 0.01). A tiny slack is
+left beyond it for groups without any spread. A group with fewer than `min_rows` documents takes its language's, and a
 language with fewer takes the corpus's. The thresholds, three small tables with a row per group, are joined back and each document
 is held against its own.
 
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from undula.llm.common import cut, map_batches, table, text_column
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Each ratio with the sides on which a document may lie too far out, and the slack that its fence always leaves.
-RATIOS = {"mean_word": ("both", 2.0), "symbols": ("high", 0.05), "dup_lines": ("high", 0.3), "repeats": ("high", 0.3)}
+#: Each ratio with the sides on which a document may lie too far out, and the slack beyond its fence.
+RATIOS = {"mean_word": ("both", 0.01), "symbols": ("high", 0.001), "dup_lines": ("high", 0.001), "repeats": ("high", 0.001)}
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 _SPACES = b" \t\n\x0b\x0c\r"
 
@@ -59,26 +60,28 @@ def repeat_words(ws: list[bytes], size: int = 8) -> int:
     return int((edge.cumsum() > 0).sum())
 
 
-def counts_of(text: str) -> tuple[int, int, int, int, int]:
+def counts_of(text: str) -> tuple[int, int, int, int, int, int]:
+    """The COUNTS, and the number of lines that aren't blank."""
     raw = text.encode("utf-8", "surrogatepass")
     ws = raw.split()
     chars = len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
     lines = [x for x in raw.split(b"\n") if x.strip(_SPACES)]
-    return len(ws), chars, len(text) - len(text.translate(_SYMBOLS)), len(lines) - len(set(lines)), repeat_words(ws)
+    return len(ws), chars, len(text) - len(text.translate(_SYMBOLS)), len(lines) - len(set(lines)), repeat_words(ws), len(lines)
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of the whole text."""
+    """doc_id, lang, source, the counts of the whole text, and n_lines."""
+    names = [*COUNTS, "n_lines"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = np.array([counts_of(t) for t in part.column(3).to_pylist()], dtype=np.int64).reshape(-1, len(COUNTS))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(found[:, i]) for i in range(len(COUNTS)))], ["doc_id", "lang", "source", *COUNTS])
+                found = np.array([counts_of(t) for t in part.column(3).to_pylist()], dtype=np.int64).reshape(-1, len(names))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(found[:, i]) for i in range(len(names)))], ["doc_id", "lang", "source", *names])
 
     source = text_column(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text"))
-    return map_batches(source, ["doc_id", "lang", "source", "text"], "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS), rows)
+    return map_batches(source, ["doc_id", "lang", "source", "text"], "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in names), rows)
 
 
 def with_ratios(stats: DataFrame) -> DataFrame:
@@ -87,7 +90,7 @@ def with_ratios(stats: DataFrame) -> DataFrame:
         {
             "mean_word": F.col("word_chars") / n,
             "symbols": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)).cast("double"),
-            "dup_lines": F.col("n_dup_lines") / n,
+            "dup_lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)).cast("double"),
             "repeats": F.col("n_repeat_words") / n,
         }
     )
@@ -101,11 +104,11 @@ def sketches(ratios: DataFrame) -> DataFrame:
 def _fences(groups: DataFrame, fence: float, prefix: str) -> list:
     out = []
     for c, (side, slack) in RATIOS.items():
-        q = [F.kll_sketch_get_quantile_double(F.col(c), F.lit(x)) for x in (0.25, 0.5, 0.75)]
-        reach = F.lit(fence) * (q[2] - q[0])
-        out.append(F.greatest(q[2] + reach, q[1] + slack).alias(f"{prefix}{c}_high"))
+        low, q1, q3, high = (F.kll_sketch_get_quantile_double(F.col(c), F.lit(x)) for x in (0.01, 0.25, 0.75, 0.99))
+        reach = F.lit(fence) * (q3 - q1)
+        out.append((F.when(q3 > q1, q3 + reach).otherwise(high) + slack).alias(f"{prefix}{c}_high"))
         if side == "both":
-            out.append(F.least(q[0] - reach, q[1] - slack).alias(f"{prefix}{c}_low"))
+            out.append((F.when(q3 > q1, q1 - reach).otherwise(low) - slack).alias(f"{prefix}{c}_low"))
     return out
 
 
