@@ -294,6 +294,21 @@ def test_decontamination_odd_rows(spark, none):
     assert decontam.find_hits(none, bench).count() == 0
 
 
+def test_blocks_of_the_benchmark_give_what_one_block_gives(spark):
+    w = [f"w{i}" for i in range(100)]
+    b = [(1, " ".join(w[:12])), (2, " ".join(w[20:32])), (3, " ".join(w[40:52])), (4, "a b c d e f g h i j"), (5, " ".join(w[60:72]))]
+    d = [(1, " ".join([*w[:12], "x1 x2 x3 x4 x5 x6", *w[20:32]])), (None, "y " * 30 + b[2][1]), (None, "y"), (7, "z " * 60 + "a b c d e " + b[0][1] + " f g h i j"), (7, b[4][1] + " q" * 40), (8, None)]
+    docs = spark.createDataFrame([(*r, "k") for r in d], "doc_id long, text string, `gone` string")
+    bench = spark.createDataFrame(b, "item_id long, text string")
+    assert len(decontam.benchmark_blocks(bench, 40)) > 2
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(decontam.find_hits(docs, bench, block_chars=40)) == key(decontam.find_hits(docs, bench))
+    one, many = decontam.remove_hits(docs, bench), decontam.remove_hits(docs, bench, block_chars=40)
+    assert many.columns == docs.columns and key(many) == key(one)
+    left = [(r["doc_id"], r["text"]) for r in many.collect()]
+    assert not any(i == 1 for i, _ in left) and not any("a b c" in (t or "") for _, t in left) and (8, None) in left
+
+
 # near-duplicates
 
 

@@ -4,7 +4,8 @@ Words are lower-cased runs of letters, digits and everything beyond ASCII. An it
 consecutive words; an item with fewer words is one window, one without words is none. Every window is kept as the tuple of
 its words under a hash of them; documents are scanned window by window and each hit of the hash is verified word by
 word. Only benchmark texts of at most `block_chars` characters are broadcast at a time; a larger benchmark is
-dealt into blocks of that size by running length, each of which is held against all documents.
+dealt into blocks by a hash, each of which is held against all documents: the hits of the blocks before go along
+with each row, so rows need no id, and passages are cut once all blocks have been seen.
 
 Defined results: null text has no words; null benchmark texts give no window; repeated items count as items of
 their own, with the same id once; an empty benchmark leaves every document clean; an empty table gives no rows.
@@ -17,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import map_batches, table, text_column
+from undula.llm.common import cut, map_batches, table, text_column
 
 #: Bytes that separate words, after lower-casing A-Z.
 _BREAKS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -107,45 +108,53 @@ def benchmark_blocks(benchmark: DataFrame, block_chars: int) -> list[DataFrame]:
     return [items.filter(F.col("block") == i).drop("block") for i in range(n)]
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_chars: int = 32_000_000) -> DataFrame:
-    """Per document: its number of words, the word spans that are hit (end exclusive), and the items found, sorted."""
-    spark = docs.sparkSession
-    docs = text_column(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    parts = []
-    for block in benchmark_blocks(benchmark, block_chars) or [None]:
-        items = [(r[0] or "", r[1]) for r in block.collect()] if block is not None else []
-        shared = spark.sparkContext.broadcast(items)
+_HITS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+
+def _scan_blocks(rows_in: DataFrame, blocks: list[DataFrame], n: int) -> DataFrame:
+    """Active rows (text, hits, items, active; further columns stay) with what the blocks hit added."""
+    spark, out = rows_in.sparkSession, rows_in
+    for block in blocks:
+        shared = spark.sparkContext.broadcast([(r[0] or "", r[1]) for r in block.collect()])
 
         def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             windows = WindowSet(shared.value, n)
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
-                    found = []
-                    for text in part.column(1).to_pylist():
-                        words = item_words(text)
-                        spans, owners = windows.scan(words)
-                        found.append((len(words), [{"first": a, "last": b} for a, b in spans], sorted(owners)))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array([f[2] for f in found], pa.list_(pa.string()))],
-                        ["doc_id", "n_words", "hits", "items"],
-                    )
-
-        parts.append(map_batches(docs, ["doc_id", "text"], SCHEMA, rows))
-    if len(parts) == 1:
-        return parts[0]
-    # Blocks find different windows of the same document; their spans are merged by running maximum, per document.
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    items = out.select("doc_id", F.explode_outer("items").alias("item")).groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    w = Window.partitionBy("doc_id").orderBy("first", "last")
-    spans = out.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.first", "h.last")
-    spans = spans.withColumn("new", (F.col("first") > F.coalesce(F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
-    spans = spans.withColumn("run", F.sum("new").over(w)).groupBy("doc_id", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    hits = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("hits"))
+                    names = part.schema.names
+                    text, hits, items, active = (part.column(names.index(c)).to_pylist() for c in ("text", "hits", "items", "active"))
+                    for i, live in enumerate(active):
+                        if live:
+                            spans, owners = windows.scan(item_words(text[i]))
+                            merged = merge_spans([*((h["first"], h["last"]) for h in hits[i]), *spans])
+                            hits[i], items[i] = [{"first": a, "last": b} for a, b in merged], sorted(owners.union(items[i]))
+                    cols = part.columns
+                    cols[names.index("hits")], cols[names.index("items")] = pa.array(hits, _HITS), pa.array(items, pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
+
+        out = map_batches(out, out.columns, out.schema, rows)
+        if len(blocks) > 1:  # one set of windows in a worker at a time
+            out = cut(out, "decontam-hits")
+    return out
+
+
+def _unseen(docs: DataFrame, *columns) -> DataFrame:
     empty = F.from_json(F.lit("[]"), "array<struct<first:long,last:long>>")
-    return parts[0].select("doc_id", "n_words").join(items, "doc_id", "left").join(hits, "doc_id", "left").select("doc_id", "n_words", F.coalesce("hits", empty).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return docs.select(*columns, empty.alias("hits"), F.array().cast("array<string>").alias("items"), F.lit(True).alias("active"))
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_chars: int = 32_000_000) -> DataFrame:
+    """Per document: its number of words, the word spans that are hit (end exclusive), and the items found, sorted."""
+    docs = text_column(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    found = _scan_blocks(_unseen(docs, "doc_id", "text"), benchmark_blocks(benchmark, block_chars), n)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            sizes = pa.array([len(item_words(t)) for t in part.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), sizes, part.column(2), part.column(3)], ["doc_id", "n_words", "hits", "items"])
+
+    return map_batches(found, ["doc_id", "text", "hits", "items"], SCHEMA, rows)
 
 
 def digest(hits: DataFrame) -> DataFrame:
@@ -183,10 +192,41 @@ def clean_text(text: str, windows: WindowSet) -> tuple[str, int]:
         text = cut_spans(text, spans)
 
 
+def _remove_by_blocks(docs: DataFrame, blocks: list[DataFrame], n: int, drop_share: float) -> DataFrame:
+    """As clean_text does it, with each look at the text over all blocks, until no text is hit."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            whole, text, hits, items, _, gone, size = part.columns
+            text, gone, size, live = text.to_pylist(), gone.to_pylist(), size.to_pylist(), []
+            for i, found in enumerate(hits.to_pylist()):
+                live.append(bool(found))
+                if found:
+                    size[i] = len(item_words(text[i])) if size[i] is None else size[i]
+                    spans = [(h["first"], h["last"]) for h in found]
+                    gone[i] += sum(b - a for a, b in spans)
+                    text[i] = cut_spans(text[i], spans)
+            cols = [whole, pa.array(text, pa.string()), pa.array([[]] * len(text), _HITS), items, pa.array(live, pa.bool_()), pa.array(gone, pa.int64()), pa.array(size, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=part.schema.names)
+
+    rest = [c for c in docs.columns if c != "text"]
+    whole = F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("_"))
+    state = _unseen(docs, whole.alias("whole"), "text").select("*", F.lit(0).cast("long").alias("gone"), F.lit(None).cast("long").alias("size"))
+    while True:
+        found = _scan_blocks(state, blocks, n)
+        state = cut(map_batches(found, found.columns, found.schema, rows), "decontam-texts")
+        if state.filter("active").isEmpty():
+            break
+    kept = state.filter((F.col("gone") == 0) | (F.col("gone") <= drop_share * F.col("size")))
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"whole.`{c}`") for c in docs.columns])
+
+
 def remove_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float = 0.5, block_chars: int = 32_000_000) -> DataFrame:
     """Documents without their hit spans; those of which over drop_share of the words are hit go. All columns stay."""
     spark = docs.sparkSession
     blocks = benchmark_blocks(benchmark, block_chars)
+    if len(blocks) > 1:
+        return _remove_by_blocks(docs, blocks, n, drop_share)
     out = docs
     for block in blocks:
         shared = spark.sparkContext.broadcast([(r[0] or "", r[1]) for r in block.collect()])
