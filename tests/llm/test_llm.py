@@ -225,6 +225,20 @@ def test_terms_that_reveal_are_found(spark):
     assert clean[501] == "zorblat alone" and clean[500] is None and clean[100] == rows[30][1]
 
 
+def test_terms_are_scored_by_value_and_marked_everywhere(spark, sf_dir):
+    import corpus_pipeline
+
+    rows = [(i, f"some words number{'abcdef'[i % 6]} before qwibble one@mail.example.org then go on {'abcdefgh'[i]}{i}") for i in range(6)]
+    rows += [(50 + i, "the same text about vlorb two@mail.example.org and no more") for i in range(6)]  # copies are one text
+    rows += [(100 + i, "some words before then go on and on, the same text about number of things and no more " * 3) for i in range(60)] + [(500, None), (501, "Qwibble alone"), (502, "vlorb alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not pii.revealing_terms(df).collect()
+    assert {r["term"] for r in pii.revealing_terms(df, min_texts=3).collect()} == {"qwibble"}
+    clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.sanitisation(spark, df, sf_dir).collect()}
+    assert clean[501] == "[TERM] alone" and clean[502] == "vlorb alone" and clean[500] is None and clean[100] == rows[12][1]
+    assert "[TERM] [EMAIL]" in clean[0]
+
+
 # language-model scores
 
 

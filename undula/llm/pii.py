@@ -8,6 +8,9 @@ term stands nowhere but beside such entities. Terms with a disclosure of at leas
 of one text can't make a term, and documents without personal data stay as they are. Base spans are generalised to
 their kind, terms to [TERM] or, with `remove_terms`, to nothing.
 
+That is what the defaults give. With `min_texts`, distinct texts are the support in place of values, and terms are scored against
+single entity values as well; with `everywhere`, they are marked in every document. op4 and the pipeline ask for both.
+
 Only terms with the support are counted over the corpus, in blocks of at most `block_terms`, which bounds what is broadcast.
 
 Defined results: null text is empty and has no spans (sanitised, it stays null); null ids stay null; repeated rows are
@@ -22,13 +25,15 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from undula.llm.common import cut, map_batches, table, text_column
 
 #: The kinds of base spans, in the order of the output, and their patterns. Fixed values.
 KINDS = ("email", "ip", "card", "phone")
+#: What op4 and the pipeline ask of a term: distinct texts in which it stands beside entities.
+MIN_TEXTS = 3
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -106,35 +111,50 @@ def _per_text(docs: DataFrame, schema: str, rows) -> DataFrame:
     return map_batches(source, ["doc_id", "text"], schema, rows)
 
 
-def revealing_terms(docs: DataFrame, reach: int = 3, disclosure: float = 0.9, min_values: int = 10, block_terms: int = 500_000) -> DataFrame:
-    """(kind, term, disclosure) of the terms over the thresholds, from all documents."""
+def revealing_terms(docs: DataFrame, reach: int = 3, disclosure: float = 0.9, min_values: int = 10, block_terms: int = 500_000, min_texts: int | None = None) -> DataFrame:
+    """(kind, term, disclosure) of the terms over the thresholds, from all documents. With min_texts, terms beside values in at least so many
+    distinct texts count, however few the values are, and each is scored against single values too; the higher disclosure holds."""
     spark = docs.sparkSession
 
+    def digest8(x: str) -> int:
+        return int.from_bytes(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
             rows = list(counts.items())
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([KINDS[r[0][0]] for r in rows]), pa.array([r[0][1] for r in rows], pa.string()), pa.array([r[0][2] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["kind", "term", "value", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([KINDS[r[0][0]] for r in rows]), pa.array([r[0][1] for r in rows], pa.string()), pa.array([r[0][2] for r in rows], pa.int64()), pa.array([r[0][3] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["kind", "term", "value", "whole", "n"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 for text in batch.slice(at, 512).column(1).to_pylist():
+                    whole = 0
                     for kind, a, b in spans_of(text):
-                        value = int.from_bytes(blake2b(text[a:b].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+                        value = digest8(text[a:b])
+                        whole = whole or digest8(text)
                         for term in neighbours(text, a, b, reach):
-                            counts[kind, term, value] += 1
+                            counts[kind, term, value, whole] += 1
                 if len(counts) > 200_000:
                     yield flush()
         if counts:
             yield flush()
 
-    near = _per_text(docs, "kind string, term string, value long, n long", beside)
-    by_value = near.groupBy("kind", "term", "value").agg(F.sum("n").alias("n"))
-    pairs = cut(by_value.groupBy("kind", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("n_values")), "pii-pairs")
+    near = _per_text(docs, "kind string, term string, value long, whole long, n long", beside)
+    if min_texts is None:
+        by_value = near.groupBy("kind", "term", "value").agg(F.sum("n").alias("n"))
+        pairs = by_value.groupBy("kind", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("support"))
+        least = min_values
+    else:
+        by_text = near.groupBy("kind", "term", "value", "whole").agg(F.sum("n").alias("n"))
+        by_value = cut(by_text.groupBy("kind", "term", "value").agg(F.sum("n").alias("n_both"), F.count("*").alias("support"), F.collect_set("whole").alias("texts")), "pii-values")
+        texts = by_value.select("kind", "term", F.explode("texts").alias("whole")).distinct().groupBy("kind", "term").agg(F.count("*").alias("support"))
+        pairs = by_value.groupBy("kind", "term").agg(F.sum("n_both").alias("n_both")).join(texts, ["kind", "term"])
+        least = min_texts
+    pairs = cut(pairs, "pii-pairs")
     kinds = {r[0]: r[1] for r in pairs.groupBy("kind").agg(F.sum("n_both")).collect()}
-    candidates = pairs.filter(F.col("n_values") >= min_values).select("term").distinct()
+    candidates = pairs.filter(F.col("support") >= least).select("term").distinct()
     n_candidates = candidates.count()
     n_blocks = min(1, n_candidates) if n_candidates <= block_terms else -(-2 * n_candidates // block_terms)
     counted = None
@@ -162,27 +182,39 @@ def revealing_terms(docs: DataFrame, reach: int = 3, disclosure: float = 0.9, mi
     total = counted.filter("term is null").agg(F.max("n_term")).first()[0] or 0
     share = F.create_map(*[x for k, n in kinds.items() for x in (F.lit(k), F.lit(min(1.0, max(1, n) / max(1, total))))])
     p_kind = share[F.col("kind")]
-    scored = pairs.filter(F.col("n_values") >= min_values).join(counted.filter("term is not null"), "term")
-    pmi = F.log2(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term")) / p_kind)
-    return scored.select("kind", "term", F.when(p_kind < 1, pmi / -F.log2(p_kind)).otherwise(0.0).alias("disclosure")).filter(F.col("disclosure") >= disclosure)
+    known = counted.filter("term is not null")
+
+    def scored(beside: DataFrame, p: Column) -> DataFrame:
+        pmi = F.log2(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term")) / p)
+        made = beside.filter(F.col("support") >= least).join(known, "term")
+        return made.select("kind", "term", F.when(p < 1, pmi / -F.log2(p)).otherwise(0.0).alias("disclosure")).filter(F.col("disclosure") >= disclosure)
+
+    found = scored(pairs, p_kind)
+    if min_texts is not None:
+        # The value itself: how often words stand beside it, of all words.
+        often = by_value.groupBy("kind", "value").agg(F.sum("n_both").alias("n_value"))
+        single = by_value.drop("texts").filter(F.col("support") >= least).join(often, ["kind", "value"])
+        found = found.unionByName(scored(single, F.least(F.lit(1.0), F.col("n_value") / F.lit(max(1, total)))))
+        found = found.groupBy("kind", "term").agg(F.max("disclosure").alias("disclosure"))
+    return found
 
 
 def _term_blocks(terms: DataFrame, limit: int) -> dict[str, frozenset[str]]:
     """The terms by kind. Each was seen beside many different values, and their number is checked before they are collected."""
     if (n := terms.count()) > limit:
-        raise ValueError(f"{n} revealing terms: raise min_values or disclosure")
+        raise ValueError(f"{n} revealing terms: raise min_values, min_texts or disclosure")
     out: dict[str, set[str]] = {}
     for r in terms.collect():
         out.setdefault(r["kind"], set()).add(r["term"])
     return {k: frozenset(v) for k, v in out.items()}
 
 
-def all_spans(text: str, terms: dict[str, frozenset[str]]) -> list[tuple[str, int, int]]:
+def all_spans(text: str, terms: dict[str, frozenset[str]], everywhere: bool = False) -> list[tuple[str, int, int]]:
     base = spans_of(text)
-    if not base:
+    if not base and not everywhere:
         return []
     out = [(a, k, KINDS[k], b) for k, a, b in base]
-    wanted = frozenset().union(*(terms.get(KINDS[k], frozenset()) for k in {k for k, _, _ in base}))
+    wanted = frozenset().union(*(terms.get(KINDS[k], frozenset()) for k in (range(len(KINDS)) if everywhere else {k for k, _, _ in base})))
     if wanted:
         for m in _TERM.finditer(text):
             if m[0].lower() in wanted and not any(a < m.end() and m.start() < b for _, a, b in base):
@@ -190,16 +222,16 @@ def all_spans(text: str, terms: dict[str, frozenset[str]]) -> list[tuple[str, in
     return [(kind, a, b) for a, _, kind, b in sorted(out)]
 
 
-def find_spans(docs: DataFrame, terms: DataFrame | None = None, reach: int = 3, disclosure: float = 0.9, min_values: int = 10, max_terms: int = 500_000) -> DataFrame:
+def find_spans(docs: DataFrame, terms: DataFrame | None = None, reach: int = 3, disclosure: float = 0.9, min_values: int = 10, max_terms: int = 500_000, min_texts: int | None = None, everywhere: bool = False) -> DataFrame:
     """doc_id and its spans (kind, start, end; code points, end exclusive), by start and kind."""
-    terms = revealing_terms(docs, reach, disclosure, min_values) if terms is None else terms
+    terms = revealing_terms(docs, reach, disclosure, min_values, min_texts=min_texts) if terms is None else terms
     shared = docs.sparkSession.sparkContext.broadcast(_term_blocks(terms, max_terms))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                spans = [[{"kind": k, "start": a, "end": b} for k, a, b in all_spans(t, shared.value)] for t in part.column(1).to_pylist()]
+                spans = [[{"kind": k, "start": a, "end": b} for k, a, b in all_spans(t, shared.value, everywhere)] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, _SPAN)], ["doc_id", "spans"])
 
     return _per_text(docs, f"doc_id long, spans {SPAN}", rows)
@@ -220,9 +252,9 @@ def sanitise_text(text: str, spans: list[tuple[str, int, int]], remove_terms: bo
     return text
 
 
-def sanitise(docs: DataFrame, reach: int = 3, disclosure: float = 0.9, min_values: int = 10, remove_terms: bool = False, max_terms: int = 500_000) -> DataFrame:
+def sanitise(docs: DataFrame, reach: int = 3, disclosure: float = 0.9, min_values: int = 10, remove_terms: bool = False, max_terms: int = 500_000, min_texts: int | None = None, everywhere: bool = False) -> DataFrame:
     """The documents with every span generalised. All columns stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(_term_blocks(revealing_terms(docs, reach, disclosure, min_values), max_terms))
+    shared = docs.sparkSession.sparkContext.broadcast(_term_blocks(revealing_terms(docs, reach, disclosure, min_values, min_texts=min_texts), max_terms))
     place = docs.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +262,7 @@ def sanitise(docs: DataFrame, reach: int = 3, disclosure: float = 0.9, min_value
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 cols = part.columns
-                cols[place] = pa.array([t if t is None else sanitise_text(t, all_spans(t, shared.value), remove_terms) for t in cols[place].to_pylist()], pa.string())
+                cols[place] = pa.array([t if t is None else sanitise_text(t, all_spans(t, shared.value, everywhere), remove_terms) for t in cols[place].to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays(cols, names=part.schema.names)
 
     return map_batches(docs, [f"`{c}`" for c in docs.columns], docs.schema, rows)
@@ -252,4 +284,4 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:
-    return digests(find_spans(table(spark, sf_dir, "documents")))
+    return digests(find_spans(table(spark, sf_dir, "documents"), min_texts=MIN_TEXTS, everywhere=True))
