@@ -1,13 +1,14 @@
 """Sum-of-squares online packing of documents into windows of a fixed number of tokens.
 
 Each task packs the rows of its own partition, in their order, without a shuffle. A level array counts the partly
-filled windows at each fill. A document's full windows leave at once; its rest goes to the level at which the sum
+filled windows at each fill. A document's full windows leave at once; its rest, all of it that is kept, goes to the level at which the sum
 of the squared counts grows least, a new window being level 0. What is open at the end of a task, or when
 `open_limit` windows are open, is closed by cutting: the fullest windows are topped up from the emptiest, and what
 one last window holds is written as sequences whose lengths are powers of two. So no token is padding.
 
 Defined results: null text is an empty text, which is its end id alone; a null id stays null; repeated rows are
-packed one by one; an empty table gives no rows; further columns of the input are not looked at.
+packed one by one; an empty table gives no rows; further columns of the input are not looked at. Ids are cast to long. Names of special
+tokens in a text are these tokens, as the library has it, or ordinary text with `special_as_text`.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undula.llm import tokens
-from undula.llm.common import map_batches, text_column
+from undula.llm.common import map_batches, table, text_column
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Sequence ids of a task start here times its partition.
@@ -47,26 +48,20 @@ class SquaresPacker:
         return top - int(np.argmin(growth[::-1]))
 
     def place(self, key, n: int) -> Iterator[list]:
-        start = 0
-        while n - start >= self.window:
-            yield [(key, start, self.window)]
-            start += self.window
-        rest = n - start
-        if not rest:
-            return
-        h = self.level_for(rest)
+        """Places a piece of fewer tokens than a window has."""
+        h = self.level_for(n)
         if h:
             pieces = self.at[h].pop()
             self.levels[h] -= 1
             self.n_open -= 1
         else:
             pieces = []
-        pieces.append((key, start, rest))
-        if h + rest == self.window:
+        pieces.append((key, 0, n))
+        if h + n == self.window:
             yield pieces
         else:
-            self.at[h + rest].append(pieces)
-            self.levels[h + rest] += 1
+            self.at[h + n].append(pieces)
+            self.levels[h + n] += 1
             self.n_open += 1
         if self.n_open > self.open_limit:
             yield from self.close()
@@ -121,14 +116,13 @@ def _powers_of_two(pieces: list, fill: int) -> Iterator[list]:
             yield out
 
 
-def pack(df: DataFrame, window: int = 2048, end_id: int = 1, vocabulary: str | None = None, open_limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, window: int = 2048, end_id: int = 1, vocabulary: str | None = None, open_limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
     """One row per piece: its document and place there, its sequence and place there, its ids (little-endian uint32)."""
     path = vocabulary or tokens.default_vocabulary()
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = SquaresPacker(window, open_limit)
-        docs: dict[int, list] = {}  # row: [doc_id, ids, tokens that aren't written yet]
+        rests: dict[int, list] = {}  # row: [doc_id, all tokens, where the rest begins, its ids, tokens that aren't written yet]
         sequence = TaskContext.get().partitionId() * SPAN
         done: list[tuple] = []
 
@@ -136,12 +130,12 @@ def pack(df: DataFrame, window: int = 2048, end_id: int = 1, vocabulary: str | N
             nonlocal sequence
             offset = 0
             for row, start, n in pieces:
-                d = docs[row]
-                done.append((d[0], start, n, len(d[1]) // 4, sequence, offset, d[1][4 * start : 4 * (start + n)]))
+                d = rests[row]
+                done.append((d[0], d[2] + start, n, d[1], sequence, offset, d[3][4 * start : 4 * (start + n)]))
                 offset += n
-                d[2] -= n
-                if not d[2]:
-                    del docs[row]
+                d[4] -= n
+                if not d[4]:
+                    del rests[row]
             sequence += 1
 
         def flush() -> pa.RecordBatch:
@@ -151,18 +145,25 @@ def pack(df: DataFrame, window: int = 2048, end_id: int = 1, vocabulary: str | N
 
         row = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc_id, ids in zip(part.column(0).to_pylist(), tokens.encode_texts(part.column(1).to_pylist(), path), strict=True):
-                    ids += end
-                    docs[row] = [doc_id, ids, len(ids) // 4]
-                    for pieces in packer.place(row, len(ids) // 4):
-                        write(pieces)
-                    row += 1
-                if len(done) >= 1000:
-                    yield flush()
+            doc_ids = batch.column(0).to_pylist()
+            for at, ids, sizes in tokens.encode_column(batch.column(1), path, special_as_text, end_id):
+                first = 0
+                for k, n in enumerate(sizes.tolist()):
+                    doc_id, whole = doc_ids[at + k], n - n % window
+                    for start in range(0, whole, window):
+                        done.append((doc_id, start, window, n, sequence, 0, ids[first + start : first + start + window].tobytes()))
+                        sequence += 1
+                    if n > whole:
+                        rests[row] = [doc_id, n, whole, ids[first + whole : first + n].tobytes(), n - whole]
+                        for pieces in packer.place(row, n - whole):
+                            write(pieces)
+                    row, first = row + 1, first + n
+                    if len(done) >= 1000:
+                        yield flush()
         for pieces in packer.close():
             write(pieces)
+            if len(done) >= 1000:
+                yield flush()
         if done:
             yield flush()
 
@@ -176,6 +177,4 @@ def digests(packed: DataFrame) -> DataFrame:
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:
-    from undula.llm.common import table
-
     return digests(pack(table(spark, sf_dir, "documents")))

@@ -1,6 +1,6 @@
 """A content-addressed store of token ids.
 
-A document's ids, with the end id, are cut into chunks where a rolling hash of the last `span` ids has its high bits zero, within
+A document's ids, with the end id, are cut into chunks where a rolling hash of the last ids has its high bits zero, within
 a least and a greatest size. A chunk's name is the BLAKE2b-128 digest of its bytes (little-endian, two bytes an id where
 the vocabulary allows, else four). The store is a folder of tables:
 
@@ -15,13 +15,16 @@ third of all documents share comes about once from each task. Reading asks for e
 the buckets without moving the objects, and puts the documents of a part together, checking every root on the way.
 
 Defined results: null text is empty and is its end id alone; null ids come first; repeated rows are documents of their own,
-in the order of their ids' digests; an empty table gives an empty store; further columns are not looked at.
+in the order of their roots; an empty table gives an empty store; further columns are not looked at. Ids are cast to long. Names of
+special tokens in a text are these tokens, as the library has it, or ordinary text with `special_as_text`.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,46 +34,52 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from undula.lineage import cut, new_path
 from undula.llm import tokens
-from undula.llm.common import cut, map_batches, new_path, release, ship, table, text_column
+from undula.llm.common import map_batches, ship, table, text_column
 
 _NAME = 16
 
 
 def name_of(data: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=_NAME).digest()
+    return hashlib.blake2b(data, digest_size=_NAME, person=b"chunk").digest()
 
 
 def merkle(leaves: list[bytes]) -> bytes:
-    """The root of a binary Merkle tree; an odd node moves up as it is; leaves and inner nodes are hashed apart."""
-    level = [name_of(b"\0" + x) for x in leaves] or [name_of(b"")]
+    """The root of a binary Merkle tree over names; an odd node moves up as it is; inner nodes are hashed apart from chunks."""
+    level = leaves or [name_of(b"")]
     while len(level) > 1:
-        level = [name_of(b"\1" + level[i] + level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        level = [hashlib.blake2b(level[i] + level[i + 1], digest_size=_NAME, person=b"node").digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
     return level[0]
 
 
-def boundaries(ids: np.ndarray, least: int, bits: int, greatest: int, span: int = 8) -> list[int]:
-    """Ends of the chunks of an id stream; they depend on nearby ids alone, so equal passages get equal chunks."""
-    n = len(ids)
-    if n <= least:
-        return [n]
+def marks(ids: np.ndarray, bits: int, span: int = 4, block: int = 32_768) -> list[int]:
+    """Where chunks may end: behind ids at which the rolling hash of the last `span` of them has its `bits` highest bits zero. Blocks stay
+    in the processor's cache."""
+    found: list[int] = []
     with np.errstate(over="ignore"):
-        h = np.zeros(n, dtype=np.uint64)
-        mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(31)
-        factor = np.uint64(0xD6E8FEB86659FD93)
-        for k in range(min(span, n) - 1, -1, -1):  # the hash at i is of ids i-span+1 to i
-            h[k:] = h[k:] + mixed[: n - k] * factor
-            factor = factor * np.uint64(0xD6E8FEB86659FD93)
-    marks = np.flatnonzero((h >> np.uint64(64 - bits)) == 0) + 1
-    ends, start, i = [], 0, 0
-    while n - start > least:
-        i += int(np.searchsorted(marks[i:], start + least))
-        end = min(int(marks[i]) if i < len(marks) else n, start + greatest, n)
-        ends.append(end)
-        start = end
-    if start < n:
-        ends.append(n)
+        factors = [np.uint64(0xD6E8FEB86659FD93) ** np.uint64(k + 1) for k in range(span)]
+        for at in range(0, len(ids), block):
+            low = max(0, at - span + 1)
+            mixed = (ids[low : at + block].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(31)
+            h = mixed * factors[0]
+            for k in range(1, min(span, len(mixed))):
+                h[k:] += mixed[: len(mixed) - k] * factors[k]
+            found += (np.flatnonzero((h[at - low :] >> np.uint64(64 - bits)) == 0) + at + 1).tolist()
+    return found
+
+
+def boundaries(at: list[int], start: int, stop: int, least: int, greatest: int) -> list[int]:
+    """Ends of the chunks of the ids from start to stop, at the marks; they depend on nearby ids alone, so equal passages get equal chunks."""
+    ends, i = [], 0
+    i = bisect_left(at, start + least)
+    while stop - start > least:
+        i = bisect_left(at, start + least, i)
+        start = min(at[i] if i < len(at) else stop, start + greatest, stop)
+        ends.append(start)
+    if start < stop:
+        ends.append(stop)
     return ends
 
 
@@ -78,60 +87,69 @@ def _objects_schema() -> str:
     return "key binary, ids binary, doc_id long, n_tokens long, leaves array<binary>, root binary"
 
 
-def write_store(docs: DataFrame, path: str, end_id: int = 0, vocabulary: str | None = None, width: int = 2, least: int = 64, bits: int = 8, greatest: int = 2048, part_tokens: int = 2_000_000) -> str:
-    """Writes the store to path. width: bytes an id."""
+def _let_go(spark: SparkSession) -> None:
+    """Asks for a collection, by which Spark's cleaner finds the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def write_store(docs: DataFrame, path: str, end_id: int = 0, vocabulary: str | None = None, width: int = 2, least: int = 128, bits: int = 9, greatest: int = 4096, part_tokens: int = 2_000_000, bucket_bytes: int = 64_000_000, special_as_text: bool = False) -> str:
+    """Writes the store to path. width: bytes an id. There are as many buckets as shuffle partitions, or one for bucket_bytes of text if that
+    is more."""
     spark = docs.sparkSession
     vocabulary = vocabulary or tokens.default_vocabulary()
-    end = np.array([end_id], dtype="<u4").tobytes()
     kind = {2: "<u2", 4: "<u4"}[width]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
         task, n_docs = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out: list[tuple] = []
-                for doc_id, raw in zip(part.column(0).to_pylist(), tokens.encode_texts(part.column(1).to_pylist(), vocabulary), strict=True):
-                    ids = np.frombuffer(raw + end, dtype="<u4")
-                    if width == 2 and ids.max() > 0xFFFF:
-                        raise ValueError("an id doesn't fit into two bytes")
-                    data, start, leaves = ids.astype(kind).tobytes(), 0, []
-                    for stop in boundaries(ids, least, bits, greatest):
-                        chunk = data[start * width : stop * width]
+            doc_ids = batch.column(0).to_pylist()
+            for at, ids, sizes in tokens.encode_column(batch.column(1), vocabulary, special_as_text, end_id):
+                if width == 2 and ids.max() > 0xFFFF:
+                    raise ValueError("an id doesn't fit into two bytes")
+                places, data = marks(ids, bits), memoryview(ids.astype(kind).tobytes())
+                keys, chunks, recipes, start = [], [], [], 0
+                for doc_id, n in zip(doc_ids[at : at + len(sizes)], sizes.tolist(), strict=True):
+                    leaves, here = [], start
+                    for stop in boundaries(places, start, start + n, least, greatest):
+                        chunk = data[here * width : stop * width]
                         leaves.append(name := name_of(chunk))
                         if name not in sent:
                             sent.add(name)
-                            out.append((name, chunk, None, None, None, None))
-                        start = stop
+                            keys.append(name)
+                            chunks.append(chunk)
+                        here = stop
+                    start += n
                     n_docs += 1
-                    out.append((name_of(b"recipe %d %d" % (task, n_docs)), None, doc_id, len(ids), leaves, merkle(leaves)))
-                    if len(sent) > 500_000:
-                        sent.clear()
-                types = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["key", "ids", "doc_id", "n_tokens", "leaves", "root"])
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            keep = []
-            for key in batch.column(0).to_pylist():
-                keep.append(key not in seen)
-                seen.add(key)
-            yield batch.filter(pa.array(keep))
+                    recipes.append((name_of(b"recipe %d %d" % (task, n_docs)), doc_id, n, leaves, merkle(leaves)))
+                if len(sent) > 150_000:
+                    sent.clear()
+                none = len(keys)
+                cols = list(zip(*recipes, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([*keys, *cols[0]], pa.binary()), pa.array([*chunks, *[None] * len(recipes)], pa.binary()), pa.array([*[None] * none, *cols[1]], pa.int64()),
+                        pa.array([*[None] * none, *cols[2]], pa.int64()), pa.array([*[None] * none, *cols[3]], pa.list_(pa.binary())), pa.array([*[None] * none, *cols[4]], pa.binary()),
+                    ],
+                    ["key", "ids", "doc_id", "n_tokens", "leaves", "root"],
+                )
 
     source = text_column(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes), 1)
     objects = map_batches(source, ["doc_id", "text"], _objects_schema(), rows)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    # One shuffle carries chunks and recipes; each task holds all that may equal one another and writes one bucket.
-    dealt = objects.repartition(buckets, "key").mapInArrow(once, _objects_schema())
+    # One shuffle carries chunks and recipes; each task holds all that may equal one another, sorted, and writes one bucket.
+    first = F.row_number().over(Window.partitionBy("key").orderBy("key")) == 1
+    dealt = objects.repartition(buckets, "key").withColumn("first", first).filter("first").drop("first")
     name = f"undula_objects_{uuid.uuid4().hex}"
-    dealt.write.bucketBy(buckets, "key").option("compression", "zstd").option("path", f"{path}/objects").format("parquet").saveAsTable(name)
+    dealt.write.bucketBy(buckets, "key").option("compression", "snappy").option("path", f"{path}/objects").format("parquet").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
     del dealt, objects
-    release(spark)
+    _let_go(spark)
     spark.createDataFrame([(buckets, width, part_tokens)], "buckets int, width int, part_tokens long").coalesce(1).write.parquet(f"{path}/format")
 
-    recipes = spark.table(name).filter(F.col("leaves").isNotNull()).select("doc_id", "n_tokens", "leaves", "root")
+    recipes = spark.read.schema(_objects_schema()).parquet(f"{path}/objects").filter(F.col("leaves").isNotNull()).select("doc_id", "n_tokens", "leaves", "root")
     order = [F.col("doc_id").asc_nulls_first(), F.col("root"), F.col("n_tokens")]
     ranged = cut(recipes.repartitionByRange(*order).withColumn("at", F.spark_partition_id()), "recipe-ranges")
     before, total = [], 0
@@ -173,7 +191,9 @@ def _objects(spark: SparkSession, path: str, buckets: int) -> DataFrame:
     """The object table with its buckets, whichever session wrote it."""
     name = f"undula_read_{uuid.uuid4().hex}"
     spark.sql(f"CREATE TABLE {name} (key BINARY, ids BINARY, doc_id BIGINT, n_tokens BIGINT, leaves ARRAY<BINARY>, root BINARY) USING parquet CLUSTERED BY (key) INTO {buckets} BUCKETS LOCATION '{path}/objects'")
-    return spark.table(name)
+    made = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the plan has what it needs, and the files stay
+    return made
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
