@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import boosting, decontam, jaccard, packing, pii
+from undula.llm import boosting, decontam, packing, pii, simhash
 from undula.llm.common import cut, table
 
 
@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word shingles have a similarity of 0.8 or more one stays."""
-    return jaccard.deduplicate(docs)
+    """Of documents whose five-word shingles have a similarity of 0.8 or more one stays: by fingerprints first, then exactly."""
+    return simhash.deduplicate(docs, shingle=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

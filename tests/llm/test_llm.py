@@ -8,13 +8,16 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from undula.llm import boosting, chat, decontam, jaccard, lattice, packing, pii, queries, rules, simhash, store, tokens, wrappers
-from undula.llm.common import new_path
+from undula.lineage import new_path
+from undula.llm import boosting, chat, components, decontam, lattice, packing, pii, queries, rules, similar, simhash, store, tokens, wrappers
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, end string, ids string"
 LONG = " ".join(f"word{i % 977} and" for i in range(20_000))
@@ -49,9 +52,16 @@ def run(spark, sf_dir, name):
     return [r.asDict() for r in queries.queries()[name](spark, sf_dir).collect()]
 
 
+@lru_cache
+def library():
+    """The plain library, apart from what the operators make of it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.default_vocabulary())
+
+
 def whole_ids(text, end):
-    t = tokens._tokenizer(tokens.default_vocabulary())
-    return np.array(t.encode(text or "", add_special_tokens=False).ids + [end], dtype="<u4")
+    return np.array(library().encode(text or "", add_special_tokens=False).ids + [end], dtype="<u4")
 
 
 # tokens and packing
@@ -59,9 +69,15 @@ def whole_ids(text, end):
 
 def test_split_encoding_equals_whole(documents):
     path = tokens.default_vocabulary()
-    texts = [r["text"] for r in documents[:80]] + [r[1] or "" for r in ODD] + [" a", "a ", "\na", "a\n", "don't", "a 'tis b", "x.y,z!? (q)", "A1 b_c", "à la façon"]
-    for text, got in zip(texts, tokens.encode_texts(texts, path), strict=True):
-        assert got == whole_ids(text, 0)[:-1].tobytes()
+    texts = [r["text"] for r in documents[:80]] + [r[1] or "" for r in ODD] + [" a", "a ", "\na", "a\n", "\nThe, end.\nAn end!", "don't", "a 'tis b", "x.y,z!? (q)", "A1 b_c", "à la façon", "a <|endoftext|> b", "<|endoftext|>", "", "\n", " "]
+    for _ in range(2):  # the second time pieces are known
+        for text, got in zip(texts, tokens.encode_texts(texts, path), strict=True):
+            assert got == whole_ids(text, 0)[:-1].tobytes()
+    assert 50256 in whole_ids("a <|endoftext|> b", 0)
+    plain = tokens.encode_texts(texts, path, special_as_text=True)
+    assert not any(50256 in np.frombuffer(x, dtype="<u4") for x in plain)
+    ends = [x for _, ids, n in tokens.encode_column(pa.array(texts[80:]), path, end=7) for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert [x.tolist() for x in ends] == [whole_ids(t, 7).tolist() for t in texts[80:]]
 
 
 def check_packed(rows, ids, window=2048):
@@ -358,7 +374,8 @@ def test_simhash_whole_table(spark, sf_dir, documents):
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == {i: (f"{fps[i]:016x}", want[i]) for i in fps}
 
 
-def test_links_lose_nothing(spark):
+@pytest.mark.parametrize("compared", [2, 32])
+def test_links_lose_nothing(spark, compared):
     rng = random.Random(5)
     fps = []
     for _ in range(12):
@@ -370,7 +387,7 @@ def test_links_lose_nothing(spark):
     want = brute_components(dict(enumerate(fps)))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(s,) for s in sorted(set(signed))], "fp long")
-    root = {r["node"]: r["root"] for r in simhash.components(simhash.links(df)).collect()}
+    root = {r["node"]: r["root"] for r in components.components(simhash.links(df, compared=compared)).collect()}
     classes = defaultdict(set)
     for i, s in enumerate(signed):
         classes[root.get(s, s)].add(want[i])
@@ -429,8 +446,30 @@ def test_near_copies_by_shingles_equal_brute_force(spark, sf_dir, documents, odd
                 reached.add(j)
                 todo.append(j)
     assert reached == set(text) - kept
-    assert sorted(str(r["doc_id"]) for r in jaccard.deduplicate(odd).collect()) == ["1", "3", "4", "7", "None"]
-    assert jaccard.deduplicate(none).count() == 0
+
+
+def test_sketches_bound_what_differs():
+    rng = np.random.default_rng(3)
+    t = Fraction(4, 5)
+    for _ in range(300):
+        n, gone = int(rng.integers(1, 3000)), rng.random() * 0.5
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) > gone], rng.integers(0, 2**63, int(rng.integers(0, 300)), dtype=np.uint64))))
+        apart = similar.differing(similar.odd_sketch(a), similar.odd_sketch(b))
+        assert apart <= len(np.setxor1d(a, b)) and apart == similar.differing(similar.odd_sketch(b), similar.odd_sketch(a))
+        if similar.similar(a, b, t):
+            assert similar.may_be_similar(apart, len(a), len(b), t)
+
+
+def test_deduplicate_tells_rows_of_one_id_apart(spark):
+    other = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "one text of its own that is like no other here", "a"), (1, other, "b"), (1, other, "b"), (None, other, "c"), (2, other + " end", "d"), (None, "alone without an id", "e"), (None, None, "f"), (None, "", "g")]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, kept_id string, node string, _n string")
+    kept = simhash.deduplicate(df)
+    assert kept.columns == df.columns
+    assert sorted(r["kept_id"] for r in kept.collect() if r["kept_id"] in "abcde") == ["a", "b", "e"] and kept.count() == 4
+    named = simhash.deduplicate(df.selectExpr("concat('id', doc_id) AS doc_id", "text", "kept_id"))
+    assert sorted(r["kept_id"] for r in named.collect() if r["kept_id"] in "abcde") == ["a", "b", "e"]
 
 
 # quality rules
@@ -543,6 +582,13 @@ def test_store_whole_table(spark, sf_dir, documents):
     assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in run(spark, sf_dir, "op10_store")} == want
 
 
+def test_store_leaves_nothing_in_the_catalog(spark, odd):
+    path = store.write_store(odd, new_path(spark, "store"), bucket_bytes=10_000)
+    assert spark.read.parquet(f"{path}/format").first()["buckets"] > 10
+    assert store.read_store(spark, path).count() == len(ODD)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("undula_")]
+
+
 def test_store_notices_damage(spark, odd):
     path = store.write_store(odd, new_path(spark, "store"))
     recipes = spark.read.parquet(f"{path}/recipes").collect()
@@ -555,9 +601,9 @@ def test_store_notices_damage(spark, odd):
 def test_boundaries_follow_content():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 50_000, 5000)
-    cuts = store.boundaries(a, 64, 8, 2048)
-    assert cuts[-1] == 5000 and all(x < y for x, y in zip(cuts, cuts[1:], strict=False))
-    shifted = store.boundaries(np.concatenate((rng.integers(0, 50_000, 300), a)), 64, 8, 2048)
+    cuts = store.boundaries(store.marks(a, 8), 0, 5000, 64, 2048)
+    assert cuts[-1] == 5000 and all(64 < y - x <= 2048 for x, y in zip([0, *cuts], cuts[:-1], strict=False))
+    shifted = store.boundaries(store.marks(np.concatenate((rng.integers(0, 50_000, 300), a)), 8), 0, 5300, 64, 2048)
     assert len({c + 300 for c in cuts} & set(shifted)) > len(cuts) // 2
 
 

@@ -1,11 +1,8 @@
-"""Helpers that the training-data operators share: sessions, tables in the shared folder, words."""
+"""Helpers that the training-data operators share: sessions, tables, words."""
 
 from __future__ import annotations
 
-import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,11 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from undula.lineage import cut, new_path, shared_dir  # noqa: F401
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Rows that go to a Python worker at a time, where the session doesn't say: texts are long, and each batch is held whole on both sides.
+BATCH_ROWS = "2000"
+_ROWS, _DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers that share this file system import the package (elsewhere: --py-files)."""
+    """Lets Python workers that share this file system import the package (elsewhere: --py-files), and bounds their batches."""
+    if spark.conf.get(_ROWS) == _DEFAULT_ROWS:
+        spark.conf.set(_ROWS, BATCH_ROWS)
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
@@ -28,30 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
-    said = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if said:
-        return said.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if not own:
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='undula-shared-')}")
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: its lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_batches(df: DataFrame, columns: list[str], schema: str | T.StructType, rows: Callable[..., Iterator[pa.RecordBatch]]) -> DataFrame:
     """mapInArrow over the named columns; rows gets the task's iterator of batches."""
     ship(df.sparkSession)
@@ -66,9 +48,3 @@ def text_column(df: DataFrame, name: str = "text") -> DataFrame:
 def words(text: str) -> list[bytes]:
     """Maximal runs of bytes other than space and 0x09-0x0D, with A-Z lower-cased."""
     return text.encode("utf-8", "surrogatepass").lower().split()
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -5,51 +5,47 @@ every bit position gets a number from 1 to 2^(r+1)-1, read as a vector over GF(2
 positions whose vector has an odd product with v. At most r positions differ in a linked pair; some v other than 0
 is orthogonal to all of their vectors, so the pair agrees on everything that table v keeps: no pair within the radius is missed.
 
-Only distinct fingerprints are hashed. A bucket of two is compared directly. The fingerprints of larger
+Only distinct fingerprints are hashed. Buckets of a few members are compared inside. The fingerprints of larger
 buckets, however large, are linked through their neighbours: with radius 2, two fingerprints are linked exactly if some value
 is at distance 1 or less from both. Each fingerprint is dealt to itself and its 64 neighbours; at such a value meet at most 65
 fingerprints, any two of them within the radius, so links to the least of them lose nothing and no pairs are listed.
 
-Components come from minimum labels: large-star and small-star steps over the links until nothing changes, each step
-written to the shared folder.
-
 Defined results: null text is empty and has fingerprint zero, linked like any other; a null id takes part, but is
 never the smallest id; repeated rows give repeated rows; an empty table gives no rows; further columns aren't looked at.
+`near_duplicates` takes ids that can be cast to long.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import cut, map_batches, table, text_column, words
+from undula.lineage import cut
+from undula.llm.common import map_batches, table, text_column, words
+from undula.llm.components import components
+from undula.llm.similar import shingle_hashes
 
 BITS = 64
 
 
-def fingerprint(ws: list[bytes], size: int, seed: int) -> int:
-    from xxhash import xxh64_intdigest
-
-    if not ws:
-        return 0
-    if len(ws) <= size:
-        return xxh64_intdigest(b" ".join(ws), seed)
-    if size == 3:
-        shingles = map(b"%b %b %b".__mod__, zip(ws, ws[1:], ws[2:], strict=False))
-    else:
-        shingles = map(b" ".join, zip(*(ws[i:] for i in range(size)), strict=False))
-    h = np.fromiter((xxh64_intdigest(s, seed) for s in shingles), dtype="<u8", count=len(ws) - size + 1)
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(h), 4096):
-        part = h[at : at + 4096]
+        part = np.ascontiguousarray(h[at : at + 4096], dtype="<u8")
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > len(h), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(ws: list[bytes], size: int, seed: int) -> int:
+    return majority(shingle_hashes(ws, size, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp: the fingerprint as a signed 64-bit integer."""
 
@@ -78,8 +74,9 @@ def _apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """Links a < b between distinct fingerprints (fp) that connect all within the radius. Written to the shared folder."""
+def links(fps: DataFrame, radius: int = 2, compared: int = 32) -> DataFrame:
+    """Links a < b between distinct fingerprints (fp) that connect all within the radius. Written to the shared folder. Buckets of up to
+    `compared` members are compared inside; what is in a larger one is linked through neighbour values."""
     if radius != 2:
         raise ValueError("neighbour values link exactly at radius 2 only")
     masks = F.array(*[F.lit(m).cast("long") for m in covering_masks(radius)])
@@ -89,33 +86,16 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
         "buckets",
     )
     pairs = buckets.filter((F.col("n") == 2) & (_apart(F.col("a"), F.col("b")) <= radius)).select("a", "b")
-    crowded = buckets.filter("n > 2").select("tab", "key")
+    some = buckets.filter(F.col("n").between(3, compared)).select("tab", "key")
+    held = keyed.join(some, ["tab", "key"]).groupBy("tab", "key").agg(F.sort_array(F.collect_list("fp")).alias("all"))  # at most `compared`
+    inside = held.select("all", F.posexplode("all").alias("i", "a")).select("a", F.explode(F.filter("all", lambda x: (x > F.col("a")) & (_apart(x, F.col("a")) <= radius))).alias("b"))
+    crowded = buckets.filter(F.col("n") > compared).select("tab", "key")
     members = keyed.join(crowded, ["tab", "key"], "left_semi").select("fp").distinct()
     near = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) if i < 63 else -(1 << 63)).cast("long") for i in range(BITS)])
     spread = members.select("fp", F.explode(near).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("value"))
     met = spread.groupBy("value").agg(F.sort_array(F.collect_list("fp")).alias("all")).filter(F.size("all") > 1)
     stars = met.select(F.col("all")[0].alias("a"), F.explode(F.slice("all", 2, BITS + 1)).alias("b"))
-    return cut(pairs.unionByName(stars).distinct(), "links")
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the edges (a, b): root is the least node that can be reached."""
-    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    before = None
-    for _ in range(max_rounds):
-        # large star: every larger neighbour of a node is linked to the node's least neighbour (or to itself)
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
-        # small star: every smaller neighbour of a node, and the node, are linked to the least of them
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a <> b").distinct()
-        edges = cut(small, "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-        before = now
-    raise RuntimeError("components did not settle")
+    return cut(pairs.unionByName(inside).unionByName(stars).distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
@@ -129,16 +109,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: in
     return made.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
-    """One row of each group: the one with the smallest doc_id, of rows that share it one with the least text. Rows
-    without an id can't be named and stay. All columns stay."""
-    groups = near_duplicates(docs, shingle, radius, seed)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    named = docs.filter(F.col("doc_id").isNotNull())
-    chosen = named.join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
-    one = chosen.groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near copies: texts whose sets of shingles have at least the similarity (Jaccard), and chains of such.
+
+    The fingerprints' groups are compared first, each member with its least. Texts at 0.8 differ in about ten of 64 bits, far beyond a
+    radius that masks can cover, so what is left is searched exactly by prefixes of the shingle sets (near.py): no two rows that stay
+    reach the similarity, and each that goes is linked, maybe over others, to one that stays and comes before it by id.
+
+    Defined results: the row with the smallest id stays, nulls last, then by a hash of all columns; ids may be of any type with an order, be
+    null or repeat, and rows that share one are told apart; null text is empty, empty texts are copies of each other; a text of
+    up to `shingle` words is one shingle; rows equal in all columns are one; an empty table gives no rows; all columns stay. Columns of maps
+    can't be hashed and are an error.
+    """
+    from undula.llm import near
+
+    rows = near.keyed(docs)
+    nodes = near.Nodes(rows, shingle, seed, Fraction(str(similarity)), id_col, text_col)
+    groups = components(links(nodes.all.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
+    return rows.join(near.kept_nodes(nodes, groups), ["_h1", "_h2"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
