@@ -30,8 +30,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is generalised, and the terms that reveal it, in every document."""
-    return _measured(pii.sanitise(docs, min_texts=pii.MIN_TEXTS, everywhere=True))
+    """Personal data and secrets are generalised, and the terms that reveal them, in every document."""
+    return _measured(pii.sanitise(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
