@@ -1,19 +1,22 @@
 """Main-text extraction by union-free regular expressions inferred per host.
 
 A page is a stream of block tags and text slots. Adjacent repeats in a stream become repeated groups, `( ... )+`; then
-the streams of one host are aligned, one distinct stream at a time: what both have stays, what only one has becomes optional,
-and texts that differ are slots. The result, the host's wrapper, is a flat expression without unions; optional
-brackets say that a group may stand once or repeat. Wrappers merge with wrappers in the same way, so tasks build one
-per host from their own pages and a tree of merges makes the host's.
+the streams of one host are aligned, one distinct stream at a time: what all have stays, what only some have becomes optional,
+and texts that differ are slots. The result, the host's wrapper, is a flat expression without unions that says for each part on
+how many pages it is; optional parts, brackets among them, are those that aren't on all.
 
-Each slot of a wrapper carries sums over all pages: how many have it, characters, characters inside links, whether its text
-was ever different, and what its path says (menus, adverts and the like by tag, class or id; inside an article or not). A page
-is extracted by aligning it with its host's wrapper: text in article slots is kept where the page has any; otherwise text in
-slots that are neither chrome, nor mostly links, nor the same on every one of several pages.
+Slots carry sums over all pages of the host: blocks, characters, characters inside links, whether the text was ever different, and
+how often tags or names speak for an article or against it. The wrapper's main container is the deepest one, outside of groups, that
+holds most of the host's text outside of links. A slot is main text by the sum of its evidence: inside the main container or not, its
+share of the host's text, the length of its blocks, links, text that is the same on all pages while others differ, and, as a prior,
+tags and names. A page is extracted by aligning it with its host's wrapper; text without a slot is judged by what is around it.
+
+Only sums and sets of streams leave the tasks that read pages, and streams merge by the bits of their hashes, so a wrapper doesn't
+depend on how pages are dealt, and no task gets more than a bounded number of streams of one host.
 
 Defined results: null html is empty and has empty text; a null or odd url belongs to the host ''; repeated rows count and
-return as often; unclosed and stray tags close as far as they match; an empty table gives no rows; further columns
-aren't looked at.
+return as often; unclosed and stray tags close as far as they match, and nothing but an unclosed script or style swallows what
+follows it; an empty table gives no rows; further columns aren't looked at. Page ids are cast to long.
 """
 
 from __future__ import annotations
@@ -21,22 +24,27 @@ from __future__ import annotations
 import difflib
 import html as entities
 import json
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import cut, map_batches, ship, table
+from undula.lineage import cut
+from undula.llm.common import map_batches, ship, table
 
 #: Tags and names. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe textarea title svg math object select canvas video audio".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-CHROME_TAGS = frozenset("head nav footer aside form menu dialog button fieldset".split())
+CODE = frozenset("script style".split())
+HIDDEN = frozenset("template noscript iframe textarea svg canvas video audio".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math q s samp small span strike strong sub sup time tt u var wbr".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption td th tr tbody table ul ol dl".split())
+CHROME_TAGS = frozenset("head nav footer aside form menu dialog button fieldset select".split())
 ARTICLE_TAGS = frozenset("article main".split())
 CHROME_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer notice notices "
@@ -48,26 +56,107 @@ ARTICLE_ROLES = frozenset("main article".split())
 CHROME_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME_CLOSES = frozenset("li dd dt tr td th option".split())
-
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
+CONTROLS = frozenset("select option optgroup button label".split())
+
+#: Open elements that are kept; deeper inline tags are not followed, as browsers do.
+DEPTH = 512
+#: Keys of a repeated part, at most; keys of a wrapper, at most: beyond, the parts on the fewest pages go.
+LONGEST, WRAPPER_KEYS = 256, 4000
+#: Streams of a host that one task aligns, about, and wrappers that one merge takes.
+STREAMS, FAN_IN = 64, 16
+
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*)([^<>"']*+(?:(?<==)(?:"[^"<]*+"|'[^'<]*+')[^<>"']*+)*+)>""")
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)")
+_QUOTE = re.compile("[\"'>]")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _NAME = re.compile(r"[a-zA-Z]+")
 
 
+class Scanner:
+    """Tags and texts of a source, in time linear in its length: what isn't found once isn't looked for again."""
+
+    def __init__(self, source: str):
+        self.source, self.lost = source, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.lost:
+            return -1
+        found = self.source.find(what, at)
+        if found < 0:
+            self.lost.add(what)
+        return found
+
+    def behind(self, name: str, at: int) -> int:
+        """The place behind the next closing tag of the name, or -1."""
+        key = f"</{name}"
+        if key in self.lost:
+            return -1
+        m = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(self.source, at)
+        if not m:
+            self.lost.add(key)
+            return -1
+        return m.end()
+
+    def _tag_end(self, at: int) -> int:
+        """The place of the > that ends a tag; quotes count behind an equals sign, if they are closed."""
+        while m := _QUOTE.search(self.source, at):
+            at = m.end()
+            if m[0] == ">":
+                return m.start()
+            k = m.start() - 1
+            while self.source[k].isspace():
+                k -= 1
+            if self.source[k] == "=" and (close := self.find(m[0], at)) >= 0:
+                at = close + 1
+        return -1
+
+    def __iter__(self) -> Iterator[tuple[str | None, bool, str]]:
+        """(None, False, text) or (name, whether it closes, attributes)."""
+        source, at, n = self.source, 0, len(self.source)
+        self.at = 0
+        while at < n:
+            to = self.find("<", at)
+            if to != at:
+                yield None, False, source[at : to if to >= 0 else n]
+                at = self.at = to if to >= 0 else n
+                continue
+            if m := _TAG.match(source, at):
+                self.at = m.end()
+                yield m[2].lower(), bool(m[1]), m[3]
+            elif source.startswith("<!--", at):
+                end = self.find("-->", at + 4)
+                end = end + 3 if end >= 0 else self.find(">", at) + 1
+                self.at = end or n
+            elif source.startswith("<![CDATA[", at):
+                end = self.find("]]>", at)
+                self.at = end + 3 if end >= 0 else at + 9
+            elif source.startswith(("<!", "<?"), at):
+                self.at = self.find(">", at) + 1 or n
+            elif (m := _OPEN.match(source, at)) and self.find(">", at) >= 0 and (end := self._tag_end(m.end())) >= 0:
+                self.at = end + 1
+                yield m[2].lower(), bool(m[1]), source[m.end() : end]
+            else:
+                self.at = at + 1
+                yield None, False, "<"
+            at = self.at  # the reader may have moved on
+
+
 class Page:
-    """A parsed page: `stream`, its keys; `texts`, for each text block its place in the stream, what it says and where it stands."""
+    """A parsed page: `stream`, its keys; `texts`, for each text block its place in the stream, what it says, its characters in links, and
+    whether tags or names speak against it (chrome) or for it (article)."""
 
     __slots__ = ("stream", "texts")
 
     def __init__(self, source: str):
         self.stream: list[str] = []
-        self.texts: list[list] = []  # place, text, link characters, chrome, article
+        self.texts: list[list] = []
         stack: list[tuple[str, bool, bool, int]] = []  # name, chrome, article, links
+        open_: Counter = Counter()
         pieces: list[str] = []
         state = (False, False, 0)
         block_state = state
         linked = 0
-        at, n = 0, len(source)
+        scanner = Scanner(source)
 
         def flush() -> None:
             nonlocal linked
@@ -79,51 +168,52 @@ class Page:
                     self.stream.append("#")
             linked = 0
 
-        while at < n:
-            m = _TOKEN.match(source, at)
-            at = m.end()
-            name = m[2]
+        def close(i: int) -> None:
+            """Closes what is open from there on, as if each had its end tag."""
+            for name, *_ in reversed(stack[i:]):
+                open_[name] -= 1
+                if name not in INLINE:
+                    self.stream.append(f"</{name}")
+            del stack[i:]
+
+        for name, closes, said in scanner:
             if name is None:
-                s = m[0]
-                if s.startswith("<!") or s.startswith("<?"):
-                    continue
                 if not pieces:
                     block_state = state
-                pieces.append(s)
+                pieces.append(said)
                 if state[2]:
-                    linked += len(s)
+                    linked += len(said)
                 continue
-            name = name.lower()
             block = name not in INLINE
             if block:
                 flush()
-            elif name == "br":
-                pieces.append(" ") if pieces else None
-            if m[1]:
-                if block:
+            elif name == "br" and pieces:
+                pieces.append(" ")
+            if closes:
+                if open_[name]:
+                    close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
+                elif block:
                     self.stream.append(f"</{name}")
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
             else:
-                if name in RAW and not m[3].endswith("/"):
-                    close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                    at = close.end() if close else n
+                if (name in CODE or name in HIDDEN) and not said.endswith("/"):
+                    end = scanner.behind(name, scanner.at)
+                    scanner.at = end if end >= 0 else len(source) if name in CODE else scanner.at
                     continue
-                names, role = self._names(m[3])
+                names, role = self._names(said)
                 if block:
                     if name in CLOSES_P or name in SAME_CLOSES:
-                        self._close_open(stack, name)
+                        self._close_open(stack, close, name)
                     self.stream.append(f"<{name}{'.' + '.'.join(sorted(names)) if names else ''}")
-                if name not in VOID and not m[3].endswith("/"):
+                if name not in VOID and not said.endswith("/") and (block or len(stack) < DEPTH):
                     _, chrome, article, links = stack[-1] if stack else ("", False, False, 0)
-                    article = article or name in ARTICLE_TAGS or role in ARTICLE_ROLES
-                    chrome = chrome or name in CHROME_TAGS or role in CHROME_ROLES or bool(CHROME_NAMES & names)
-                    chrome = chrome or not article and (name == "header" or bool(OUTER_CHROME_NAMES & names))
+                    against = name in CHROME_TAGS or role in CHROME_ROLES or bool(CHROME_NAMES & names) or name == "title" and not article
+                    against = against or not article and (name == "header" or bool(OUTER_CHROME_NAMES & names))
+                    chrome, article = chrome or against, (article or name in ARTICLE_TAGS or role in ARTICLE_ROLES) and not against
                     stack.append((name, chrome, article, links + (name == "a")))
+                    open_[name] += 1
             state = stack[-1][1:] if stack else (False, False, 0)
         flush()
+        close(0)
         self._collapse()
 
     @staticmethod
@@ -140,47 +230,65 @@ class Page:
         return frozenset(names), role
 
     @staticmethod
-    def _close_open(stack: list, name: str) -> None:
-        """What a start tag closes: an open p before a block, a neighbour of the same kind in lists and tables."""
+    def _close_open(stack: list, close, name: str) -> None:
+        """What a start tag closes: controls and an open p before a block, a neighbour of the same kind in lists and tables."""
+        if name in CLOSES_P:
+            while stack and stack[-1][0] in CONTROLS:
+                close(len(stack) - 1)
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == ("p" if name in CLOSES_P else name):
-                del stack[i:]
+                close(i)
                 return
             if stack[i][0] not in INLINE and not (name in SAME_CLOSES and stack[i][0] == "p"):
                 return
 
-    def _collapse(self, longest: int = 12) -> None:
+    def _collapse(self, longest: int = LONGEST) -> None:
         """Adjacent repeats become repeated groups; texts move to the place of the first."""
         keys = self.stream
-        place = list(range(len(keys)))  # of each key that was there at first
-        for size in range(1, longest + 1):
-            if len(keys) < 2 * size:
-                break
+        place = np.arange(len(keys))  # of each key that was there at first
+        size = 0
+        while (size := size + 1) <= min(longest, len(keys) // 2):
+            numbers: dict[str, int] = {}
+            codes = np.fromiter((numbers.setdefault(k, len(numbers)) for k in keys), dtype=np.int64, count=len(keys)) if size == 1 or changed else codes
+            changed = False
+            # Where a run of keys equals the one behind it: as many equal pairs at that distance as the run is long.
+            equal = np.concatenate(([0], np.cumsum(codes[:-size] == codes[size:])))
+            again = set(np.flatnonzero(equal[size:] - equal[:-size] == size).tolist())
+            if not again:
+                continue
             out: list[str] = []
-            moved = [0] * len(keys)
-            i, n, changed = 0, len(keys), False
+            moved = np.zeros(len(keys), dtype=np.int64)
+            i, n = 0, len(keys)
             while i < n:
-                # A group that was just written may go on; brackets stay balanced inside a group.
-                if i + 2 * size <= n and keys[i] == keys[i + size] and keys[i : i + size] == keys[i + size : i + 2 * size] and _balanced(keys[i : i + size]):
+                # Brackets stay balanced inside a group.
+                if i in again and _balanced(keys[i : i + size]):
                     body = keys[i : i + size]
                     start = len(out) + 1
                     out += ["(", *body, ")+"]
                     changed = True
                     while keys[i : i + size] == body:
-                        for k in range(size):
-                            moved[i + k] = start + k
+                        moved[i : i + size] = range(start, start + size)
                         i += size
                 else:
                     moved[i] = len(out)
                     out.append(keys[i])
                     i += 1
             if changed:
-                keys = out
-                place = [moved[p] for p in place]
+                keys, place = out, moved[place]
         for t in self.texts:
-            t[0] = place[t[0]]
+            t[0] = int(place[t[0]])
         self.stream = keys
 
+    def slots(self) -> dict[int, list[int]]:
+        """The sums of each place that has text."""
+        own: dict[int, list[int]] = {}
+        for place, text, links, chrome, article in self.texts:
+            c = crc32(text.encode("utf-8", "surrogatepass"))
+            own[place] = add_slots(own.get(place), [1, 1, len(text), links, c, c, int(chrome), int(article)])
+        for s in own.values():
+            s[0] = 1
+        return own
+
 
 def _balanced(keys: list[str]) -> bool:
     depth = 0
@@ -191,41 +299,41 @@ def _balanced(keys: list[str]) -> bool:
     return depth == 0
 
 
-# A wrapper is a list of [key, optional, slot]; slot, at "#" only, is
-# [pages, characters, link characters, least checksum, greatest checksum, chrome, article].
+# A wrapper is {"pages": n, "parts": [[key, pages, slot], ...]}; a slot, at "#" only, is SLOT: sums but for the two checksums.
+SLOT = ("pages", "blocks", "chars", "links", "low", "high", "chrome", "article")
 
 
-def wrapper_of(stream: list[str], slots: dict[int, list]) -> list[list]:
-    return [[k, False, slots.get(i)] for i, k in enumerate(stream)]
+def wrapper_of(stream: list[str], slots: dict[int, list], pages: int = 1) -> dict:
+    return {"pages": pages, "parts": [[k, pages, slots.get(i)] for i, k in enumerate(stream)]}
 
 
 def add_slots(a: list | None, b: list | None) -> list | None:
     if a is None or b is None:
         return a or b
-    return [a[0] + b[0], a[1] + b[1], a[2] + b[2], min(a[3], b[3]), max(a[4], b[4]), a[5] and b[5], a[6] or b[6]]
+    return [*(x + y for x, y in zip(a[:4], b[:4], strict=True)), min(a[4], b[4]), max(a[5], b[5]), a[6] + b[6], a[7] + b[7]]
 
 
 def align(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
     return difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
 
 
-def generalise(a: list[list], b: list[list]) -> list[list]:
-    """The wrapper of all that a or b matches: shared parts once, parts of one alone optional."""
-    keys_a, keys_b = [x[0] for x in a], [x[0] for x in b]
-    if keys_a == keys_b:
-        return [[x[0], x[1] or y[1], add_slots(x[2], y[2])] for x, y in zip(a, b, strict=True)]
-    out: list[list] = []
+def generalise(a: dict, b: dict) -> dict:
+    """The wrapper of all that a or b matches: shared parts once, parts of one alone on its pages only."""
+    x, y, out = a["parts"], b["parts"], []
     i = j = 0
-    for at_a, at_b, n in align(keys_a, keys_b):
-        out += [[x[0], True, x[2]] for x in (*a[i:at_a], *b[j:at_b])]
-        out += [[x[0], x[1] or y[1], add_slots(x[2], y[2])] for x, y in zip(a[at_a : at_a + n], b[at_b : at_b + n], strict=True)]
+    for at_a, at_b, n in align([p[0] for p in x], [p[0] for p in y]):
+        out += x[i:at_a] + y[j:at_b]
+        out += [[p[0], p[1] + q[1], add_slots(p[2], q[2])] for p, q in zip(x[at_a : at_a + n], y[at_b : at_b + n], strict=True)]
         i, j = at_a + n, at_b + n
-    return out
+    if len(out) > WRAPPER_KEYS:
+        least = sorted((p[1] for p in out), reverse=True)[WRAPPER_KEYS]
+        out = [p for p in out if p[1] > least] or out[:WRAPPER_KEYS]
+    return {"pages": a["pages"] + b["pages"], "parts": out}
 
 
-def as_expression(wrapper: list[list]) -> str:
+def as_expression(wrapper: dict) -> str:
     """The wrapper to be read: optional parts have a question mark."""
-    return " ".join(k + "?" * bool(o) for k, o, _ in wrapper)
+    return " ".join(k + "?" * (n < wrapper["pages"]) for k, n, _ in wrapper["parts"])
 
 
 def _host(url) -> F.Column:
@@ -236,71 +344,125 @@ def _source(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), _host(F.col("url").cast("string")).alias("host"))
 
 
-def _merge(wrappers: list[str]) -> str:
-    """One of several wrappers as JSON; the order doesn't depend on which came first."""
-    ordered = [json.loads(w) for w in sorted(wrappers)]
-    out = ordered[0]
-    for w in ordered[1:]:
-        out = generalise(out, w)
-    return json.dumps(out, separators=(",", ":"))
-
-
-def infer_wrappers(pages: DataFrame, fan_in: int = 64) -> DataFrame:
-    """host, wrapper (JSON): one for each host, from all of its pages. Written to the shared folder."""
+def _streams(pages: DataFrame) -> DataFrame:
+    """host, stream (keys by line), pages, slots (place and SLOT): every distinct stream of a host, once, with the sums of all its pages."""
+    sums = ", ".join(f"{c} long" for c in SLOT)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, dict[tuple[str, ...], dict[int, list]]] = {}
-        done: dict[str, list[list]] = {}
-
-        def fold() -> None:
-            for host, streams in seen.items():
-                for stream in sorted(streams):
-                    w = wrapper_of(list(stream), streams[stream])
-                    done[host] = generalise(done[host], w) if host in done else w
+        seen: dict[tuple[str, str], tuple[list, dict[int, list]]] = {}
+
+        def flush() -> pa.RecordBatch:
+            made = [(host, stream, -1, *([n[0]] + [0] * 7)) for (host, stream), (n, _) in seen.items()]
+            made += [(host, stream, place, *s) for (host, stream), (_, own) in seen.items() for place, s in own.items()]
+            cols = list(zip(*made, strict=True))
             seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), *(pa.array(c, pa.int64()) for c in cols[2:])], ["host", "stream", "place", *SLOT])
 
-        n = 0
         for batch in batches:
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 page = Page(source)
-                slots = seen.setdefault(host, {}).setdefault(tuple(page.stream), {})
-                own: dict[int, list] = {}
-                for place, text, links, chrome, article in page.texts:
-                    c = crc32(text.encode("utf-8", "surrogatepass"))
-                    s = own.get(place)
-                    own[place] = [1, len(text), links, c, c, chrome, article] if s is None else [1, s[1] + len(text), s[2] + links, s[3], s[4], s[5] and chrome, s[6] or article]
-                for place, s in own.items():
-                    slots[place] = add_slots(slots.get(place), s)
-                n += 1
-                if n % 2000 == 0:
-                    fold()
-        fold()
-        task = TaskContext.get().partitionId()
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(list(done)), pa.array([json.dumps(w, separators=(",", ":")) for w in done.values()]), pa.array([task // fan_in] * len(done), pa.int64())], ["host", "wrapper", "salt"])
+                n, own = seen.setdefault((host, "\n".join(page.stream)), ([0], {}))
+                n[0] += 1
+                for place, s in page.slots().items():
+                    own[place] = add_slots(own.get(place), s)
+                if len(seen) >= 2000:
+                    yield flush()
+        if seen:
+            yield flush()
+
+    each = map_batches(_source(pages), ["host", "html"], f"host string, stream string, place long, {sums}", rows)
+    totals = [F.min(c).alias(c) if c == "low" else F.max(c).alias(c) if c == "high" else F.sum(c).alias(c) for c in SLOT]
+    by_place = each.groupBy("host", "stream", "place").agg(*totals)
+    slot = F.when(F.col("place") >= 0, F.struct("place", *SLOT))
+    return by_place.groupBy("host", "stream").agg(F.max(F.when(F.col("place") < 0, F.col("pages"))).alias("pages"), F.collect_list(slot).alias("slots"))
+
+
+def infer_wrappers(pages: DataFrame) -> DataFrame:
+    """host, wrapper (JSON): one for each host, from all of its pages. Written to the shared folder."""
+    streams = cut(_streams(pages).withColumn("bits", F.shiftrightunsigned(F.xxhash64("stream"), 1)), "streams")
+    most = streams.groupBy("host").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    groups = 1
+    while groups * STREAMS < most:
+        groups *= FAN_IN
+
+    def first(t: pa.Table) -> pa.Table:
+        made = sorted(zip(*(t.column(c).to_pylist() for c in ("pages", "stream", "slots")), strict=True), key=lambda r: (-r[0], r[1]))
+        out = None
+        for n, stream, slots in made:
+            one = wrapper_of(stream.split("\n") if stream else [], {s["place"]: [s[c] for c in SLOT] for s in slots}, n)
+            out = one if out is None else generalise(out, one)
+        return _row(t, out)
 
     def merge(t: pa.Table) -> pa.Table:
-        return pa.table({"host": t.column("host").slice(0, 1), "salt": t.column("salt").slice(0, 1), "wrapper": pa.array([_merge(t.column("wrapper").to_pylist())])})
+        out = None
+        for w in sorted(map(json.loads, t.column("wrapper").to_pylist()), key=lambda w: (-w["pages"], json.dumps(w))):
+            out = w if out is None else generalise(out, w)
+        return _row(t, out)
+
+    def _row(t: pa.Table, wrapper: dict) -> pa.Table:
+        return pa.table({"host": t.column("host").slice(0, 1), "at": t.column("at").slice(0, 1), "wrapper": pa.array([json.dumps(wrapper, separators=(",", ":"))])})
 
     ship(pages.sparkSession)
-    by_task = map_batches(_source(pages), ["host", "html"], "host string, wrapper string, salt long", rows)
-    by_salt = by_task.groupBy("host", "salt").applyInArrow(merge, "host string, salt long, wrapper string")
-    return cut(by_salt.groupBy("host").applyInArrow(merge, "host string, salt long, wrapper string").select("host", "wrapper"), "wrappers")
+    schema = "host string, at long, wrapper string"
+    made = streams.withColumn("at", F.pmod("bits", F.lit(groups))).groupBy("host", "at").applyInArrow(first, schema)
+    while groups > 1:
+        groups //= FAN_IN
+        made = cut(made, "wrappers").withColumn("at", F.floor(F.col("at") / FAN_IN).cast("long")).groupBy("host", "at").applyInArrow(merge, schema)
+    return cut(made.select("host", "wrapper"), "wrappers")
+
+
+def _closed(keys: list[str]) -> list[tuple[int, int]]:
+    """For each start tag of a wrapper its place and that of its end; alignment may leave one without, which ends with what is around it."""
+    out, stack = [], []
+    for i, k in enumerate(keys):
+        if k.startswith("</"):
+            name = k[2:]
+            if any(keys[j][1:].split(".")[0] == name for j in stack):
+                while True:
+                    j = stack.pop()
+                    out.append((j, i))
+                    if keys[j][1:].split(".")[0] == name:
+                        break
+        elif k.startswith("<") and k[1:].split(".")[0] not in VOID:
+            stack.append(i)
+    return out + [(j, len(keys)) for j in stack]
 
 
 class Extractor:
-    """A host's wrapper, ready for its pages."""
-
-    def __init__(self, wrapper: list[list], least_pages: int = 3):
-        self.keys = [x[0] for x in wrapper]
-        self.slots: dict[int, tuple[bool, bool, bool]] = {}  # chrome, article, kept where no article is
-        for i, (_, _, slot) in enumerate(wrapper):
-            if slot:
-                pages, chars, links, low, high, chrome, article = slot
-                constant = pages >= least_pages and low == high
-                self.slots[i] = chrome, article, not constant and links <= 0.5 * chars
+    """A wrapper, ready for its pages."""
+
+    def __init__(self, wrapper: dict, least_pages: int = 5):
+        parts = wrapper["parts"]
+        self.keys = [p[0] for p in parts]
+        slots = {i: dict(zip(SLOT, p[2], strict=True)) for i, p in enumerate(parts) if p[2]}
+        constant = {i for i, s in slots.items() if s["pages"] >= least_pages and 2 * s["pages"] >= wrapper["pages"] and s["low"] == s["high"]}
+        if len(constant) == len(slots):  # copies of one page say nothing about its parts
+            constant = set()
+        mass = {i: (s["chars"] - s["links"]) * (0.1 if i in constant or 2 * s["chrome"] > s["blocks"] else 3.0 if 2 * s["article"] > s["blocks"] else 1.0) for i, s in slots.items()}
+        total = sum(mass.values()) or 1.0
+        self.main = self._container(mass, total)
+        self.kept: dict[int, bool] = {}
+        self.inside: dict[int, bool] = {}
+        for i, s in slots.items():
+            self.inside[i] = self.main[0] < i < self.main[1]
+            share = mass[i] / total
+            score = 3 * s["article"] / s["blocks"] - 4 * s["chrome"] / s["blocks"] - 4 * s["links"] / s["chars"] + (2 + 1.5 * share if self.inside[i] else -2)
+            self.kept[i] = score + _by_length(s["chars"] / s["blocks"]) - 4 * (i in constant and share < 0.2) > 0
         self.known: dict[tuple[str, ...], dict[int, int]] = {}
 
+    def _container(self, mass: dict[int, float], total: float, most: float = 0.6) -> tuple[int, int]:
+        """The ends of the deepest container outside of groups, other than a text block, that holds most of the text."""
+        depth, grouped = 0, []
+        for k in self.keys:
+            depth += k == "("
+            grouped.append(depth > 0)
+            depth -= k == ")+"
+        best = (-1, len(self.keys))
+        for a, b in _closed(self.keys):
+            if not grouped[a] and self.keys[a][1:].split(".")[0] not in TEXT_TAGS | CHROME_TAGS and b - a < best[1] - best[0] and sum(m for i, m in mass.items() if a < i < b) >= most * total:
+                best = (a, b)
+        return best
+
     def places(self, stream: list[str]) -> dict[int, int]:
         """For each place of a page's stream its place in the wrapper."""
         key = tuple(stream)
@@ -310,23 +472,31 @@ class Extractor:
             self.known[key] = {b + k: a + k for a, b, n in align(self.keys, stream) for k in range(n)}
         return self.known[key]
 
-    def text(self, source: str) -> str:
-        page = Page(source)
+    def text(self, page: Page) -> str:
         at = self.places(page.stream)
-        main, rest = [], []
-        for place, text, links, own_chrome, own_article in page.texts:
-            chrome, article, kept = self.slots.get(at.get(place, -1), (own_chrome, own_article, 2 * links <= len(text)))
-            if own_chrome or chrome:
+        slots = [at.get(t[0], -1) for t in page.texts]
+        inside = [self.inside.get(s) for s in slots]
+        out = []
+        for k, ((_, text, links, chrome, article), slot) in enumerate(zip(page.texts, slots, strict=True)):
+            if slot in self.kept:
+                if self.kept[slot] and not (chrome and not article and 2 * links > len(text)):
+                    out.append(text)
                 continue
-            if article or own_article:
-                main.append(text)
-            elif kept:
-                rest.append(text)
-        return "\n\n".join(main or rest)
+            # No page before had text here: as its neighbours, and by its own evidence.
+            around = [next((x for x in some if x is not None), None) for some in (reversed(inside[:k]), inside[k + 1 :])]
+            near = 2 if article or around == [True, True] else -2 if around == [False, False] else 0
+            if 3 * article - 4 * chrome - 4 * links / len(text) + near + _by_length(len(text)) > 0:
+                out.append(text)
+        return "\n\n".join(out)
+
+
+def _by_length(chars: float) -> float:
+    return max(-1.0, min(1.0, math.log2(max(chars, 1) / 30) / 2))
 
 
 def extract(pages: DataFrame, wrappers: DataFrame | None = None, broadcast_chars: int = 32_000_000) -> DataFrame:
-    """page_id, url, text: the main text of each page. Wrappers are broadcast up to that size, beyond it joined by host."""
+    """page_id, url, text: the main text of each page. Wrappers are broadcast up to that size, beyond it joined by host. A page of a host
+    without a wrapper is its own."""
     spark = pages.sparkSession
     wrappers = infer_wrappers(pages) if wrappers is None else wrappers
     source = _source(pages)
@@ -339,7 +509,7 @@ def extract(pages: DataFrame, wrappers: DataFrame | None = None, broadcast_chars
         source = source.join(wrappers, "host", "left")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: dict[str, Extractor] = {}
+        ready: dict[str, Extractor | None] = {}
         for batch in batches:
             texts = []
             for host, source, own in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
@@ -347,8 +517,9 @@ def extract(pages: DataFrame, wrappers: DataFrame | None = None, broadcast_chars
                     if len(ready) > 2000:
                         ready.clear()
                     w = own if shared is None else shared.value.get(host)
-                    ready[host] = Extractor(json.loads(w) if w else [])
-                texts.append(ready[host].text(source))
+                    ready[host] = Extractor(json.loads(w)) if w else None
+                page = Page(source)
+                texts.append((ready[host] or Extractor(wrapper_of(page.stream, page.slots()))).text(page))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return map_batches(source, ["page_id", "url", "host", "html", "wrapper"], "page_id long, url string, text string", rows)
