@@ -1,11 +1,11 @@
 """Benchmark decontamination with a broadcast hash set of normalised n-grams.
 
 Words are lower-cased runs of letters, digits and everything beyond ASCII. An item's windows are its runs of `n`
-consecutive words; an item with fewer words is one window, one without words is none. Every window is kept as the tuple of
-its words under a hash of them; documents are scanned window by window and each hit of the hash is verified word by
-word. Only benchmark texts of at most `block_chars` characters are broadcast at a time; a larger benchmark is
-dealt into blocks by a hash, each of which is held against all documents: the hits of the blocks before go along
-with each row, so rows need no id, and passages are cut once all blocks have been seen.
+consecutive words; an item with fewer words is one window, one without words is none. Documents are scanned window by window and each
+hit of a window's hash is verified word by word. Only benchmark texts of at most `block_chars` characters are broadcast at a
+time, of which a worker makes about 16 bytes a word, once; a larger benchmark is dealt into blocks by a hash, each of which is held
+against all documents: the hits of the blocks before go along with each row, so rows need no id, and passages are cut once
+all blocks have been seen.
 
 Defined results: null text has no words; null benchmark texts give no window; repeated items count as items of
 their own, with the same id once; an empty benchmark leaves every document clean; an empty table gives no rows.
@@ -14,6 +14,8 @@ their own, with the same id once; an empty benchmark leaves every document clean
 from __future__ import annotations
 
 import re
+import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import cut, map_batches, table, text_column
+from undula.lineage import cut
+from undula.llm.common import map_batches, table, text_column
 
 #: Bytes that separate words, after lower-casing A-Z.
 _BREAKS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -37,21 +40,34 @@ def item_words(text: str | None) -> list[bytes]:
 
 
 class WindowSet:
-    """The windows of some items: words have small numbers, windows of one length have sorted hashes."""
+    """The windows of some items, in columns: words have small numbers, and for each length of window there are sorted hashes, where a
+    window begins among the items' words, and whose it is. A window of an item is kept once: about 16 bytes each."""
 
     def __init__(self, items: list[tuple[str, str]], n: int):
         self.numbers: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[str]] = {}
-        for item_id, text in items:
-            ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in item_words(text)]
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                windows.setdefault(tuple(ids[i : i + size]), set()).add(item_id)
-        self.by_size: dict[int, dict[int, list[tuple[tuple[int, ...], list[str]]]]] = {}
-        for w, owners in windows.items():
-            key = int(self._hashes(np.array(w, dtype=np.uint64), len(w))[0])
-            self.by_size.setdefault(len(w), {}).setdefault(key, []).append((w, sorted(owners)))
-        self.sorted = {size: np.array(sorted(keys), dtype=np.uint64) for size, keys in self.by_size.items()}
+        self.names = [item_id for item_id, _ in items]
+        words, ends = array("I"), []
+        for _, text in items:
+            words.extend([self.numbers.setdefault(w, len(self.numbers) + 1) for w in item_words(text)])
+            ends.append(len(words))
+        self.words = np.array(words, dtype=np.uint64)
+        stops = np.array(ends, dtype=np.int64)
+        starts = np.concatenate(([0], stops[:-1])).astype(np.int64)
+        sizes = np.minimum(stops - starts, n)
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            own = np.flatnonzero(sizes == size)
+            often = (stops - starts)[own] - size + 1
+            item = np.repeat(own, often)
+            at = np.arange(len(item)) + np.repeat(starts[own] - (np.cumsum(often) - often), often)
+            h = self._hashes(self.words, size)[at]
+            order = np.lexsort((at, item, h))
+            h, at, item = h[order], at[order], item[order]
+            same = (h[1:] == h[:-1]) & (item[1:] == item[:-1])
+            for k in range(size):
+                same &= self.words[at[1:] + k] == self.words[at[:-1] + k]
+            keep = np.concatenate(([True], ~same))
+            self.by_size[size] = h[keep], at[keep], item[keep]
 
     @staticmethod
     def _hashes(ids: np.ndarray, size: int) -> np.ndarray:
@@ -68,23 +84,37 @@ class WindowSet:
         ids = np.array([get(w, 0) for w in words], dtype=np.uint64)
         known = np.concatenate(([0], np.cumsum(ids != 0)))
         spans: list[tuple[int, int]] = []
-        owners: set[str] = set()
-        for size, keys in self.sorted.items():
+        owners: set[int] = set()
+        for size, (keys, at, item) in self.by_size.items():
             if len(ids) < size:
                 continue
             full = np.flatnonzero(known[size:] - known[:-size] == size)
             if not len(full):
                 continue
             h = self._hashes(ids, size)[full]
-            at = np.searchsorted(keys, h)
-            ok = keys[np.minimum(at, len(keys) - 1)] == h
-            for i, key in zip(full[ok].tolist(), h[ok].tolist(), strict=True):
-                here = tuple(ids[i : i + size].tolist())
-                for w, own in self.by_size[size][key]:
-                    if w == here:
-                        spans.append((i, i + size))
-                        owners.update(own)
-        return merge_spans(spans), owners
+            low, high = np.searchsorted(keys, h), np.searchsorted(keys, h, side="right")
+            seen: set[tuple[int, ...]] = set()
+            for i, a, b in zip(full[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
+                here = ids[i : i + size]
+                if (window := tuple(here.tolist())) in seen:
+                    spans.append((i, i + size))
+                    continue
+                found = [k for k in range(a, b) if np.array_equal(self.words[at[k] : at[k] + size], here)]
+                if found:
+                    seen.add(window)
+                    spans.append((i, i + size))
+                    owners.update(item[found].tolist())
+        return merge_spans(spans), {self.names[k] for k in owners}
+
+
+#: The windows that this process has built last, by the name of their block.
+_built: list[tuple[str, WindowSet]] = []
+
+
+def _windows(name: str, shared, n: int) -> WindowSet:
+    if not _built or _built[0][0] != name:
+        _built[:] = [(name, WindowSet(shared.value, n))]
+    return _built[0][1]
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -97,15 +127,37 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def benchmark_blocks(benchmark: DataFrame, block_chars: int) -> list[DataFrame]:
-    """The benchmark in blocks whose texts have about block_chars characters at most; one block if it has no more in all."""
-    items = text_column(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")).filter(F.length("text") > 0)
+def benchmark_blocks(benchmark: DataFrame, block_chars: int, n: int) -> list[DataFrame]:
+    """The benchmark's words in blocks of about block_chars characters at most; one block if it has no more in all. A text over an eighth of
+    that is dealt in pieces which overlap by n - 1 words, so that each of its windows is in one."""
+    piece = max(block_chars // 8, 1)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = [], []
+            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ws = [w.decode("utf-8", "replace") for w in item_words(text)]
+                step = len(ws)
+                if len(text) > piece:
+                    step = max(n, piece * len(ws) // len(text))
+                for at in range(0, max(1, len(ws) - n + 1 if step < len(ws) else 1), max(1, step)):
+                    ids.append(item_id)
+                    texts.append(" ".join(ws[at : at + step + n - 1] if step < len(ws) else ws))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["item_id", "text"])
+
+    source = text_column(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text"))
+    items = map_batches(source, ["item_id", "text"], "item_id string, text string", rows).filter(F.length("text") > 0)
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     if total <= block_chars:
         return [items] if total else []
-    n = -(-total // block_chars) * 2
-    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    return [items.filter(F.col("block") == i).drop("block") for i in range(n)]
+    k = -(-total // block_chars) * 2
+    items = cut(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(k))), "benchmark-words")
+    return [items.filter(F.col("block") == i).drop("block") for i in range(k)]
+
+
+def _shared(block: DataFrame) -> tuple[str, object]:
+    """A name for the block's windows, and its words, broadcast; their size is bounded by block_chars."""
+    return uuid.uuid4().hex, block.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in block.collect()])
 
 
 _HITS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
@@ -113,12 +165,12 @@ _HITS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 def _scan_blocks(rows_in: DataFrame, blocks: list[DataFrame], n: int) -> DataFrame:
     """Active rows (text, hits, items, active; further columns stay) with what the blocks hit added."""
-    spark, out = rows_in.sparkSession, rows_in
+    out = rows_in
     for block in blocks:
-        shared = spark.sparkContext.broadcast([(r[0] or "", r[1]) for r in block.collect()])
+        name, shared = _shared(block)
 
-        def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            windows = WindowSet(shared.value, n)
+        def rows(batches: Iterator[pa.RecordBatch], name=name, shared=shared) -> Iterator[pa.RecordBatch]:
+            windows = _windows(name, shared, n)
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
@@ -144,10 +196,10 @@ def _unseen(docs: DataFrame, *columns) -> DataFrame:
     return docs.select(*columns, empty.alias("hits"), F.array().cast("array<string>").alias("items"), F.lit(True).alias("active"))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_chars: int = 32_000_000) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_chars: int = 8_000_000) -> DataFrame:
     """Per document: its number of words, the word spans that are hit (end exclusive), and the items found, sorted."""
     docs = text_column(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    found = _scan_blocks(_unseen(docs, "doc_id", "text"), benchmark_blocks(benchmark, block_chars), n)
+    found = _scan_blocks(_unseen(docs, "doc_id", "text"), benchmark_blocks(benchmark, block_chars, n), n)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -221,19 +273,18 @@ def _remove_by_blocks(docs: DataFrame, blocks: list[DataFrame], n: int, drop_sha
     return kept.select(*[F.col("text") if c == "text" else F.col(f"whole.`{c}`") for c in docs.columns])
 
 
-def remove_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float = 0.5, block_chars: int = 32_000_000) -> DataFrame:
+def remove_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float = 0.5, block_chars: int = 8_000_000) -> DataFrame:
     """Documents without their hit spans; those of which over drop_share of the words are hit go. All columns stay."""
-    spark = docs.sparkSession
-    blocks = benchmark_blocks(benchmark, block_chars)
+    blocks = benchmark_blocks(benchmark, block_chars, n)
     if len(blocks) > 1:
         return _remove_by_blocks(docs, blocks, n, drop_share)
     out = docs
     for block in blocks:
-        shared = spark.sparkContext.broadcast([(r[0] or "", r[1]) for r in block.collect()])
+        name, shared = _shared(block)
         place, schema = out.columns.index("text"), out.schema
 
-        def rows(batches: Iterator[pa.RecordBatch], shared=shared, place=place) -> Iterator[pa.RecordBatch]:
-            windows = WindowSet(shared.value, n)
+        def rows(batches: Iterator[pa.RecordBatch], name=name, shared=shared, place=place) -> Iterator[pa.RecordBatch]:
+            windows = _windows(name, shared, n)
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
