@@ -6,8 +6,8 @@ fold. Values are binned by quantiles, trees grow level by level from gradient an
 is flattened into arrays of a complete binary tree each, which numpy traverses for a whole batch at once.
 
 Defined results: null text is an empty text and gets a score as any other; null ids or labels teach nothing; of
-repeated ids one row teaches, all are scored; without labels of both classes every score is the share of label 1, or 0.5
-with none; an empty table gives no rows; further columns are not looked at and stay in `keep_good`.
+repeated ids the row with the least features teaches, all are scored; without labels of both classes every score is the share of label 1, or 0.5
+with none; an empty table gives no rows; further columns are not looked at and stay in `keep_good`. Ids are cast to long.
 """
 
 from __future__ import annotations
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     chosen = {r[0]: r[1] for r in sample.collect()}
     ids = docs.sparkSession.createDataFrame([(k,) for k in sorted(chosen)], "doc_id long")
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    found = {r[0]: r[1] for r in document_features(some).dropDuplicates(["doc_id"]).collect()}
+    found = {r[0]: r[1] for r in document_features(some).groupBy("doc_id").agg(F.min("x")).collect()}
     order = sorted(found)
     x = np.array([found[k] for k in order]).reshape(len(order), len(FEATURES))
     y = np.array([float(chosen[k] == 1) for k in order])

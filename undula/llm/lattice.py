@@ -1,7 +1,8 @@
 """Subword lattice likelihood: the marginal probability of a text over all its segmentations.
 
-The pieces of an existing vocabulary are weighted by how often its own segmentation of the training words uses them, smoothed. A
-word, with the vocabulary's space mark before it, is a lattice of all pieces that match at each place and, for each
+The pieces of an existing unigram vocabulary are weighted by its own scores, the logs of their probabilities. A vocabulary without such
+scores, as one of byte-pair merges, whose scores are ranks, is a departure: its pieces are weighted by how often its own segmentation
+of the training words uses them, smoothed. The public vocabularies have no unigram one, so op5 takes that way. A word, with the vocabulary's space mark before it, is a lattice of all pieces that match at each place and, for each
 character, its byte pieces; the forward recursion adds up all paths in log space. Words don't share pieces, so a
 document's log10 probability is the sum over its words and one end piece.
 
@@ -10,8 +11,9 @@ of them, are looked up in a broadcast table when documents are scored; the other
 
 Beside it stands a word unigram with additive smoothing, from the same counts.
 
-Defined results: null text has no words and is its end alone; a null id is never held out... it trains; repeated rows
-count and return as often, with equal scores; an empty table gives no rows; further columns are not looked at.
+Defined results: null text has no words and is its end alone; a row without an id is never held out, so it trains; repeated rows
+count and return as often, with equal scores; a word longer than the longest piece is a path over several; an empty table gives no
+rows; further columns are not looked at. Ids are cast to long.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import cut, map_batches, table, text_column, words
+from undula.lineage import cut
+from undula.llm.common import map_batches, table, text_column, words
 
 MARK = "▁"
 _loaded: dict[str, tuple] = {}
@@ -110,8 +113,23 @@ def piece_counts(counts: DataFrame, path: str) -> DataFrame:
     return map_batches(counts.filter("c_train > 0"), ["word", "c_train"], "piece long, n long", rows).groupBy("piece").agg(F.sum("n").alias("n"))
 
 
+def own_weights(path: str) -> np.ndarray | None:
+    """The vocabulary's own scores, if they are logs of probabilities that add up to about 1. Byte pieces and the end, which have none, share
+    what an unknown piece would have: a hundredth of the least."""
+    sp, ids, byte_ids, end, _ = _vocabulary(path)
+    scores = np.array([sp.get_score(i) for i in range(sp.get_piece_size())])
+    known = np.array(sorted(ids.values()))
+    if not 0.9 < np.exp(scores[known]).sum() < 1.1:
+        return None
+    weights = np.full(len(scores), scores[known].min() + np.log(0.01))
+    weights[known] = scores[known]
+    return weights
+
+
 def piece_weights(counts: DataFrame, path: str, alpha: float = 0.1) -> np.ndarray:
     """The natural log of each piece's probability; as many numbers as the vocabulary has pieces."""
+    if (own := own_weights(path)) is not None:
+        return own
     size = _vocabulary(path)[0].get_piece_size()
     n = np.zeros(size)
     for r in piece_counts(counts, path).collect():

@@ -8,7 +8,8 @@ language with fewer takes the corpus's. The thresholds, three small tables with
 is held against its own.
 
 Defined results: null text has no words and fails the base rule; a null language or source is a group of its own; repeated
-rows count and return as often; an empty table gives no rows; further columns of the input are not looked at.
+rows count and return as often; an empty table gives no rows; further columns of the input are not looked at. Ids are cast
+to long.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import cut, map_batches, table, text_column
+from undula.lineage import cut
+from undula.llm.common import map_batches, table, text_column
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Each ratio with the sides on which a document may lie too far out, and the slack beyond its fence.
