@@ -77,8 +77,8 @@ class Nodes:
         self.all = cut(placed.select("node", "head._h1", "head._h2", "n", "fp", "low", "sketch"), "near-nodes")
 
     def texts(self, wanted: DataFrame) -> DataFrame:
-        """node, text of the nodes."""
-        heads = self.all.select("node", "_h1", "_h2").join(wanted.select("node"), "node", "left_semi")
+        """node, text of the nodes. Their rows are written first: few enough are broadcast, and then no text is moved."""
+        heads = cut(self.all.select("node", "_h1", "_h2").join(wanted.select("node"), "node", "left_semi"), "near-heads")
         return self.source.join(heads, ["_h1", "_h2"]).select("node", "text")
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -176,4 +176,4 @@ def kept_nodes(nodes: Nodes, groups: DataFrame) -> DataFrame:
     rows = nodes.prefixes(alive)
     more = cut(nodes.linked_away(stars(rows)), "near-gone")
     last = nodes.linked_away(meeting(rows.join(more, "node", "left_anti"), nodes.t))
-    return alive.join(more.unionByName(last), "node", "left_anti").select("_h1", "_h2")
+    return cut(alive.join(more.unionByName(last), "node", "left_anti").select("_h1", "_h2"), "near-kept")
