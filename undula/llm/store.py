@@ -123,7 +123,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = 0, vocabulary: str | N
                     start += n
                     n_docs += 1
                     recipes.append((name_of(b"recipe %d %d" % (task, n_docs)), doc_id, n, leaves, merkle(leaves)))
-                if len(sent) > 150_000:
+                if len(sent) > 100_000:
                     sent.clear()
                 none = len(keys)
                 cols = list(zip(*recipes, strict=True))

@@ -22,9 +22,9 @@ import pyarrow.compute as pc
 _WHOLE = "  | \n|\n |\n\n|[^\n\x20-\x7e\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xba\xbb\xbf-ɏ–—‘-„…€]"
 #: Letters with marks behind them, which are one more cut; an apostrophe may belong to letters.
 _MARKED = r"^(?P<word>[\x00\n]?\pL+)(?P<marks>[!-&(-/:-@\[-`{-~]+)$"
-_KEPT = 250_000
+_KEPT = 150_000
 #: Bytes of text that are encoded at a time; a longer text is one such part.
-PART = 4_000_000
+PART = 1_500_000
 
 _loaded: dict[tuple[str, bool], Encoder] = {}
 
@@ -185,6 +185,7 @@ def encode_column(texts: pa.Array, path: str, special_as_text: bool = False, end
         to = max(at + 1, int(np.searchsorted(total, before + PART, side="right")))
         yield at, *_loaded[key].encode(texts.slice(at, to - at), end)
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def encode_texts(texts: list[str], path: str, special_as_text: bool = False) -> list[bytes]:
