@@ -70,7 +70,9 @@ def test_noise_and_study_runs(spark, folder, tmp_path):
     jobs.noise_run(spark, str(folder), str(tmp_path / "n"))
     assert spark.read.option("header", True).csv(str(tmp_path / "n/filter_noise")).count() == 24
     assert spark.read.option("header", True).csv(str(tmp_path / "n/failed_files")).count() == 1
-    jobs.study_run(spark, str(tmp_path / "n/filtered"), str(tmp_path / "s"))
+    jobs.study_run(spark, str(tmp_path / "n/filtered_csv"), str(tmp_path / "s"))
+    key = lambda path: sorted(map(str, readers.read_filtered(spark, str(tmp_path / path)).collect()))
+    assert key("n/filtered_csv") == key("n/filtered") and len(key("n/filtered")) == 9000
     assert spark.read.option("header", True).csv(str(tmp_path / "s/detection_summary")).count() == 24
     with pytest.raises(ValueError, match="no filtered"):
         readers.read_filtered(spark, str(write(spark, tmp_path)))
@@ -81,8 +83,21 @@ def write(spark, tmp_path):
     return tmp_path / "t"
 
 
-def test_feature_run(spark, folder, tmp_path):
+def test_reports_and_plots(spark, folder, tmp_path, capsys):
+    jobs.shape_run(spark, str(folder), str(tmp_path / "p"), plots_per_dataset=1)
+    said = capsys.readouterr().out
+    assert "Accepted events" in said and "Files that failed       : 1" in said
+    assert len(spark.read.option("header", True).csv(str(tmp_path / "p/shape_features")).columns) == 25
+    drawn = [f for f in os.listdir(tmp_path / "p/plots") if f.endswith(".svg")]
+    assert len(drawn) == 2 and "<polyline" in (tmp_path / "p/plots" / drawn[0]).read_text()
+    jobs.evaluation_run(spark, str(folder), str(tmp_path / "v"))
+    said = capsys.readouterr().out
+    assert "Ground truth: not available" in said and "total_accepted_events" in said and "ensemble" in said
+
+
+def test_feature_run(spark, folder, tmp_path, capsys):
     jobs.features_run(spark, str(folder), str(tmp_path / "f"))
+    assert "Valid STFT" in capsys.readouterr().out and any(f.startswith("histogram") for f in os.listdir(tmp_path / "f/plots"))
     features = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "f/multidomain_features"))
     assert len(features.columns) == 37 and features.count() >= 2
     assert len(spark.read.option("header", True).csv(str(tmp_path / "f/shape_features")).columns) == 25

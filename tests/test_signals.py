@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from undula import numbering
 from undula.config import PERMISSIVE, Refinement, Rules, Weights
 from undula.operators import blocks, detectors, evaluate, events, features, filters, islands, matching
 from undula.operators.preprocess import baseline, clean
@@ -193,6 +194,35 @@ def test_spectra_and_stft(spark):
     assert td["c"]["td_skewness"] is None and td["a"]["td_crest_factor"] == pytest.approx(np.sin(0.4 * np.pi) * 2**0.5)
 
 
+def test_spectra_with_gaps(spark):
+    rng = np.random.default_rng(5)
+    x = list(np.sin(np.arange(40) / 3) + rng.normal(0, 0.1, 40))
+    gaps = [None if i in (0, 1, 7, 8, 20, 39) else float("nan") if i == 30 else v for i, v in enumerate(x)]
+    df = series(spark, a=gaps, b=[None] * 20, c=[None] * 19 + [1.0], d=x)
+    w = events.cut(features.event_samples(df.groupBy("dataset", "channel").agg(F.min("sample_index").alias("start_index"), F.max("sample_index").alias("end_index")).withColumn("event_id", F.col("dataset")), df), "w")
+    known = [i for i, v in enumerate(gaps) if v is not None and v == v]
+    y = np.interp(np.arange(40), known, [gaps[i] for i in known])
+    want = np.abs(np.fft.rfft((y - y.mean()) * np.hanning(40)))
+    got = {(r["event_id"], r["k"]): r["mag"] for r in features.spectra(w).collect()}
+    assert [got["a", k] for k in range(21)] == pytest.approx(list(want)) and {e for e, _ in got} == {"a", "d"}
+    assert {(r["event_id"], r["k"]): r["mag"] for r in features.dft_spectra(w).collect()} == pytest.approx(got, abs=1e-9)
+    z = {r["event_id"]: r for r in features.stft_features(w, features.sampling_frequency(df)).collect()}
+    assert z["a"]["stft_valid"] and (z["b"]["stft_reason"], z["c"]["stft_reason"]) == ("all_nan_signal", "insufficient_finite_samples")
+    assert z["a"]["stft_max_energy"] == pytest.approx(features.stft_of(y, 50.0)[1])
+
+
+@pytest.mark.parametrize("ranges", [2, 5])
+def test_places_of_a_large_group(spark, ranges):
+    rows = [("a" if i % 3 else None, (i * 7919) % 1000, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, x long, i long").repartition(ranges)
+    want = sorted((str(g), sum((g2, x2) < (g, x) for g2, x2, _ in [(str(a), b, c) for a, b, c in rows] if g2 == g)) for g, x in [(str(a), b) for a, b, _ in rows])
+    assert sorted((str(r["g"]), r["place"]) for r in numbering.numbered(df, ["x"], ["g"]).collect()) == want
+    named = df.filter("g IS NOT NULL")
+    got = numbering.numbered_in(named, ["x"], ["g"], F.floor(F.col("x") / 90))
+    assert sorted(("a", r["place"]) for r in got.collect()) == [w for w in want if w[0] == "a"]
+    assert got.count() == named.count()
+
+
 def test_peaks_equal_model(spark):
     x = np.round(noise(400, 9, 1.0), 1)  # with plateaus
     got = [(r["sample_index"], r["type"], round(r["prominence"], 9)) for r in detectors.peaks(series(spark, a=x), 100, 1.0, 5).orderBy("sample_index", "type").collect()]

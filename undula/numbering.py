@@ -25,3 +25,15 @@ def numbered(df: DataFrame, order: list[Column | str], by: list[str] = (), out:
     inside = Window.partitionBy("_range", *by).orderBy(*order)
     placed = ranged.withColumn(out, F.row_number().over(inside) - 1).join(starts, same)
     return placed.withColumn(out, F.col(out) + F.col("_start")).drop("_range", "_r", "_start", *[f"_by_{c}" for c in by])
+
+
+def numbered_in(df: DataFrame, order: list[Column | str], by: list[str], bucket: Column, out: str = "place") -> DataFrame:
+    """The same without writing anything, where a bucket of the order is at hand: an expression that never falls along it, and of which no
+    value holds too many rows of a group. Groups must not be null."""
+    ready = df.withColumn("_bucket", bucket)
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ready.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
+    starts = counts.select(*by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(*order)
+    placed = ready.withColumn(out, F.row_number().over(inside) - 1).join(starts, [*by, "_bucket"])
+    return placed.withColumn(out, F.col(out) + F.col("_start")).drop("_bucket", "_start")

@@ -11,10 +11,10 @@ from undula.operators.events import ensemble_events
 
 
 def per_channel(events: DataFrame, signal: DataFrame) -> DataFrame:
-    """Candidates, accepted and rejected events of every series, those without events too."""
-    counts = events.groupBy(*SERIES).agg(F.count("*").alias("candidates"), F.count_if("accepted").alias("accepted"))
-    made = signal.select(*SERIES).distinct().join(counts, SERIES, "left").fillna(0, ["candidates", "accepted"])
-    return made.withColumn("rejected", F.col("candidates") - F.col("accepted"))
+    """Candidate, accepted and rejected events of every series, those without events too."""
+    counts = events.groupBy(*SERIES).agg(F.count("*").alias("candidate_events"), F.count_if("accepted").alias("accepted_events"))
+    made = signal.select(*SERIES).distinct().join(counts, SERIES, "left").fillna(0, ["candidate_events", "accepted_events"])
+    return made.withColumn("rejected_events", F.col("candidate_events") - F.col("accepted_events"))
 
 
 def characteristics(accepted: DataFrame, by: list[str] = ()) -> DataFrame:

@@ -13,6 +13,7 @@ from undula.operators.matching import match_groups, numbered, samples_of, split_
 from undula.operators.noise import drift, first_peak
 from undula.operators.preprocess import baseline
 
+#: Exported columns; fixed values, as are the texts of the rejections.
 COLUMNS = (
     "event_id", "dataset", "channel", "start_index", "peak_index", "end_index", "start_time", "peak_time", "end_time", "peak_value",
     "duration", "detection_methods", "method_count", "evidence_score", "accepted", "rejection_reason",
@@ -124,7 +125,7 @@ def events_from_regions(regions: DataFrame, signal: DataFrame, p: Parameters = P
     groups = numbered(split_groups(match_groups(regions, p.detectors.match_tolerance), p.detectors.split_min_gap))
     groups = cut(groups, "groups")
     stats = baseline(signal, p.sampling.baseline_samples)
-    return classify(refine(group_peaks(groups, signal), signal, stats, p.refinement), rules or p.rules, p.weights)
+    return invariants(classify(refine(group_peaks(groups, signal), signal, stats, p.refinement), rules or p.rules, p.weights))
 
 
 def single_method_events(signal: DataFrame, method: str, p: Parameters = Parameters()) -> DataFrame:
@@ -135,7 +136,7 @@ def single_method_events(signal: DataFrame, method: str, p: Parameters = Paramet
     one = regions.withColumn("k", F.row_number().over(w)).withColumn("event_id", F.format_string("%s-%s-%03d", *SERIES, "k"))
     none = F.lit(None).cast("map<string,bigint>")
     candidates = one.select(*SERIES, "event_id", "k", "start_index", "end_index", F.array("method").alias("methods"), none.alias("method_peak_indices"))
-    return classify(refine(candidates, signal, stats, p.refinement), PERMISSIVE, p.weights)
+    return invariants(classify(refine(candidates, signal, stats, p.refinement), PERMISSIVE, p.weights))
 
 
 def channel_summary(signal: DataFrame, events: DataFrame, n: int = 100) -> DataFrame:

@@ -13,6 +13,7 @@ from undula.operators.detectors import derivative
 from undula.operators.matching import samples_of
 from undula.operators.noise import rms
 
+#: Exported columns; fixed values, as are the texts of all reasons.
 SHAPE_COLUMNS = (
     "dataset", "fbg", "impact_id", "start_time", "peak_time", "end_time", "pre_impact_baseline", "peak_value", "peak_shift", "absolute_peak_shift", "post_impact_level",
     "residual_shift", "rise_time", "recovery_time", "peak_width", "max_slope", "rms", "signal_energy", "peak_to_peak", "variance", "standard_deviation", "entropy",
@@ -117,7 +118,7 @@ def sampling_frequency(signal: DataFrame, keys: list[str] = SERIES) -> DataFrame
     w = Window.partitionBy(*keys).orderBy("sample_index")
     steps = signal.select(*keys, (F.col("time") - F.lag("time").over(w)).alias("dt"))
     made = steps.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(F.when(F.col("dt") > 0, F.col("dt")), F.lit(0.5)).alias("dt"))
-    why = F.when(F.col("n") < 2, "insufficient_timestamps").when(F.col("dt").isNull(), "no_positive_time_steps").otherwise("")
+    why = F.when(F.col("n") < 2, "insufficient_timestamps(len<2)").when(F.col("dt").isNull(), "no_positive_time_differences").otherwise("")
     return made.select(*keys, (1 / F.col("dt")).alias("fs"), why.alias("fs_reason"))
 
 
@@ -132,11 +133,37 @@ def window_weight(name: str, pos: Column, n: Column) -> Column:
     return F.when(n <= 2, 1.0).otherwise(w) if name not in ("none", "hamming") else F.coalesce(w, F.lit(1.0))
 
 
-def spectra(windows: DataFrame, config: Spectral = Spectral()) -> DataFrame:
-    """k, mag of each event's one-sided spectrum, of the mean-free, windowed samples, from one FFT per event."""
+def filled(windows: DataFrame) -> DataFrame:
+    """Adds value_reason, and value without gaps: nulls and values that aren't finite are filled linearly by position, beyond the first and last
+    known value with that; a window with none or one known value isn't filled, and has a reason if anything is missing."""
+    w = Window.partitionBy(*KEY)
+    x = F.when(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
+    known = F.when(x.isNotNull(), F.struct(F.col("pos").alias("i"), x.alias("v")))
+    made = windows.withColumns(
+        {
+            "_l": F.last(known, ignorenulls=True).over(w.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)),
+            "_r": F.last(known, ignorenulls=True).over(w.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)),
+            "_k": F.count(x).over(w),
+            "_n": F.count("*").over(w),
+        }
+    )
+    between = F.col("_l.v") + (F.col("_r.v") - F.col("_l.v")) * (F.col("pos") - F.col("_l.i")) / (F.col("_r.i") - F.col("_l.i"))
+    value = F.when(x.isNotNull(), x).when(F.col("_l").isNull(), F.col("_r.v")).when(F.col("_r").isNull(), F.col("_l.v")).otherwise(between)
+    why = F.when(F.col("_k") == 0, "all_nan_signal").when((F.col("_k") < 2) & (F.col("_k") < F.col("_n")), "insufficient_finite_samples").otherwise("")
+    return made.withColumn("value_reason", why).withColumn("value", F.when(F.col("value_reason") == "", value)).drop("_l", "_r", "_k", "_n")
+
+
+def _weighted(windows: DataFrame, config: Spectral) -> DataFrame:
+    """v: the samples of windows that can be transformed, mean-free and weighted."""
     w = Window.partitionBy(*KEY)
+    ready = filled(windows).filter("value_reason = ''")
     x = F.col("value") - F.avg("value").over(w) if config.remove_dc else F.col("value")
-    ready = windows.withColumn("v", x * window_weight(config.window, F.col("pos"), F.col("n")))
+    return ready.withColumn("v", x * window_weight(config.window, F.col("pos"), F.col("n")))
+
+
+def spectra(windows: DataFrame, config: Spectral = Spectral()) -> DataFrame:
+    """k, mag of each event's one-sided spectrum, of the mean-free, windowed samples, from one FFT per event."""
+    ready = _weighted(windows, config)
     arrays = ready.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("x")).filter(F.size("x") >= config.min_fft_samples)
 
     def run(batches):
@@ -154,9 +181,7 @@ def spectra(windows: DataFrame, config: Spectral = Spectral()) -> DataFrame:
 
 def dft_spectra(windows: DataFrame, config: Spectral = Spectral()) -> DataFrame:
     """The same without Python, as sums of cosines and sines; for short windows."""
-    w = Window.partitionBy(*KEY)
-    x = F.col("value") - F.avg("value").over(w) if config.remove_dc else F.col("value")
-    ready = windows.filter(F.col("n") >= config.min_fft_samples).withColumn("v", x * window_weight(config.window, F.col("pos"), F.col("n")))
+    ready = _weighted(windows.filter(F.col("n") >= config.min_fft_samples), config)
     each = ready.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 2))))
     angle = 2 * np.pi * ((F.col("k") * F.col("pos")) % F.col("n")) / F.col("n")
     made = each.groupBy(*KEY, "k", "n").agg(F.sum(F.col("v") * F.cos(angle)).alias("re"), F.sum(F.col("v") * F.sin(angle)).alias("im"))
@@ -205,15 +230,17 @@ def stft_of(x: np.ndarray, fs: float, overlap: float = 0.5) -> tuple[float, floa
 
 def stft_features(windows: DataFrame, fs: DataFrame, config: Spectral = Spectral()) -> DataFrame:
     """Per event: stft_peak_frequency_hz, stft_max_energy, stft_valid, stft_reason."""
-    arrays = windows.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("x"))
-    arrays = arrays.join(fs.select(*SERIES, "fs"), SERIES).select(*KEY, "x", "fs")
+    arrays = filled(windows).groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("x"), F.max("value_reason").alias("why"))
+    arrays = arrays.join(fs.select(*SERIES, "fs"), SERIES).select(*KEY, "x", "fs", "why")
 
     def run(batches):
         for b in batches:
             out = []
-            for x, rate in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            for x, rate, why in zip(*(b.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
                 if not config.stft:
                     out.append((None, None, False, "stft_disabled"))
+                elif why:
+                    out.append((None, None, False, why))
                 elif len(x) < config.min_stft_samples:
                     out.append((None, None, False, f"event_too_short({len(x)}<{config.min_stft_samples})"))
                 elif rate is None or not np.isfinite(rate) or rate <= 0:
@@ -226,6 +253,7 @@ def stft_features(windows: DataFrame, fs: DataFrame, config: Spectral = Spectral
     return arrays.mapInArrow(run, "dataset string, channel string, event_id string, stft_peak_frequency_hz double, stft_max_energy double, stft_valid boolean, stft_reason string")
 
 
+#: Shape features that the other domains' table repeats, and its columns. Fixed values.
 SHARED = ("peak_shift", "residual_shift", "rise_time", "recovery_time")
 FEATURE_COLUMNS = (
     "dataset", "fbg", "impact_id", "start_time", "peak_time", "end_time", "duration", "peak_shift", "residual_shift", "rise_time", "recovery_time", "mean", "median", "std", "variance", "rms", "minimum",
@@ -243,12 +271,14 @@ def multidomain_features(events: DataFrame, signal: DataFrame, shape: DataFrame,
     made = events.select(*KEY, "start_time", "peak_time", "end_time", "peak_value", "duration", "baseline_mean").join(lookup, ["dataset", "event_id"], "left").join(time_features(windows), KEY)
     made = made.join(spectrum.drop("sampling_frequency_hz"), KEY, "left").join(stft_features(windows, fs, config), KEY).join(fs, SERIES).withColumn("sampling_frequency_hz", F.col("fs"))
     short = F.col("td_samples") < config.min_fft_samples
-    fd = F.when(F.col("fs").isNull(), "invalid_sampling_frequency").when(short, F.format_string(f"insufficient_samples(%d<{config.min_fft_samples})", "td_samples")).otherwise("")
+    gaps = filled(windows).groupBy(*KEY).agg(F.max("value_reason").alias("value_reason"))
+    made = made.join(gaps, KEY)
+    fd = F.when(F.col("fs").isNull(), "invalid_sampling_frequency").when(F.col("value_reason") != "", F.col("value_reason")).when(short, F.format_string(f"insufficient_samples(%d<{config.min_fft_samples})", "td_samples")).otherwise("")
     made = made.withColumn("fd_reason", fd)
     bad_stft = (F.col("stft_reason") != "") & (F.col("stft_reason") != "stft_disabled")
     why = F.concat_ws("; ", *[F.when(c, F.concat(F.lit(f"{n}:"), F.col(r))) for c, n, r in ((F.col("td_reason") != "", "time_domain", "td_reason"), (fd != "", "frequency_domain", "fd_reason"), (bad_stft, "stft", "stft_reason"))])
     status = F.when(F.col("fs").isNull(), "failed").when(why != "", "partial").otherwise("ok")
-    made = made.withColumn("failure_reason", F.when(F.col("fs").isNull(), F.concat(F.lit("sampling_frequency:"), F.col("fs_reason"))).otherwise(why)).withColumn("feature_status", status)
+    made = made.withColumn("failure_reason", F.when(F.col("fs").isNull(), F.concat(F.lit("sampling_freq:"), F.col("fs_reason"))).otherwise(why)).withColumn("feature_status", status)
     made = made.withColumnsRenamed({f"td_{c}": c for c in FEATURE_COLUMNS if f"td_{c}" in made.columns} | {"channel": "fbg", "event_id": "impact_id"})
     return made.withColumn("num_samples", F.coalesce("num_samples", F.lit(0))).select(*FEATURE_COLUMNS)
 

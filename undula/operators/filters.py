@@ -11,13 +11,16 @@ from undula.config import FILTERS, SERIES, Filters
 from undula.operators.blocks import frame, ordered, own_rows, with_halo
 
 
-def moving_average(df: DataFrame, window: int = 5, value: str = "value", out: str = "moving_average") -> DataFrame:
-    """Centred mean of full windows; the rows without one take the nearest that has."""
+def _moving_average(halo: DataFrame, window: int, value: str, out: str) -> DataFrame:
     half = window // 2
     f = frame(-half, window - 1 - half)
-    made = with_halo(df, 2 * half, 2 * half).withColumn(out, F.when(F.count(value).over(f) == window, F.avg(value).over(f)))
-    near = F.coalesce(F.col(out), F.first(out, ignorenulls=True).over(frame(0, half)), F.last(out, ignorenulls=True).over(frame(-half, 0)))
-    return own_rows(made.withColumn(out, near))
+    made = halo.withColumn(out, F.when(F.count(value).over(f) == window, F.avg(value).over(f)))
+    return made.withColumn(out, F.coalesce(F.col(out), F.first(out, ignorenulls=True).over(frame(0, half)), F.last(out, ignorenulls=True).over(frame(-half, 0))))
+
+
+def moving_average(df: DataFrame, window: int = 5, value: str = "value", out: str = "moving_average") -> DataFrame:
+    """Centred mean of full windows; the rows without one take the nearest that has."""
+    return own_rows(_moving_average(with_halo(df, window, window), window, value, out))
 
 
 def savgol_rows(window: int = 11, order: int = 3) -> np.ndarray:
@@ -27,11 +30,9 @@ def savgol_rows(window: int = 11, order: int = 3) -> np.ndarray:
     return a @ np.linalg.pinv(a)
 
 
-def savitzky_golay(df: DataFrame, window: int = 11, order: int = 3, value: str = "value", out: str = "savitzky_golay") -> DataFrame:
-    """The fitted polynomial's value at each sample; near the ends, that of the first or last window. Null in shorter series."""
+def _savitzky_golay(halo: DataFrame, window: int, order: int, value: str, out: str) -> DataFrame:
     half, rows = window // 2, savgol_rows(window, order)
     w = ordered()
-    halo = with_halo(df, window, window)
     halo = halo.withColumn("ahead", F.count("*").over(frame(-(window - 1), -1))).withColumn("behind", F.count("*").over(frame(1, window - 1)))
 
     def at(k: int) -> Column:
@@ -48,16 +49,24 @@ def savitzky_golay(df: DataFrame, window: int = 11, order: int = 3, value: str =
     result = F.when(~whole, None)
     for j in range(half):
         result = result.when(F.col("ahead") == j, fit(j)).when(F.col("behind") == j, fit(window - 1 - j))
-    return own_rows(halo.withColumn(out, result.otherwise(fit(half))).drop("ahead", "behind", *cols))
+    return halo.withColumn(out, result.otherwise(fit(half))).drop("ahead", "behind", *cols)
 
 
-def median(df: DataFrame, window: int = 5, value: str = "value", out: str = "median") -> DataFrame:
-    """The middle of each centred window, with zeros beyond the ends."""
+def savitzky_golay(df: DataFrame, window: int = 11, order: int = 3, value: str = "value", out: str = "savitzky_golay") -> DataFrame:
+    """The fitted polynomial's value at each sample; near the ends, that of the first or last window. Null in shorter series."""
+    return own_rows(_savitzky_golay(with_halo(df, window, window), window, order, value, out))
+
+
+def _median(halo: DataFrame, window: int, value: str, out: str) -> DataFrame:
     half, w = window // 2, ordered()
     zero = F.lit(0.0)
     around = [F.lag(value, k, 0.0).over(w) for k in range(1, half + 1)] + [F.lead(value, k, 0.0).over(w) for k in range(1, half + 1)]
-    made = with_halo(df, half, half).withColumn(out, F.array_sort(F.array(*[F.coalesce(x, zero) for x in around], F.col(value)))[half])
-    return own_rows(made)
+    return halo.withColumn(out, F.array_sort(F.array(*[F.coalesce(x, zero) for x in around], F.col(value)))[half])
+
+
+def median(df: DataFrame, window: int = 5, value: str = "value", out: str = "median") -> DataFrame:
+    """The middle of each centred window, with zeros beyond the ends."""
+    return own_rows(_median(with_halo(df, window, window), window, value, out))
 
 
 def butterworth_coefficients(order: int, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
@@ -70,36 +79,31 @@ def butterworth_coefficients(order: int, cutoff: float) -> tuple[np.ndarray, np.
     return b, a
 
 
-def _recursive(b: np.ndarray, a: np.ndarray, x: list[float], z: np.ndarray) -> np.ndarray:
-    """Transposed direct form; z holds the state."""
-    n, out = len(a) - 1, np.empty(len(x))
-    z = [*z.tolist(), 0.0]
-    bb, aa = b.tolist(), a.tolist()
-    for i, v in enumerate(x):
-        y = bb[0] * v + z[0]
-        for k in range(n):
-            z[k] = bb[k + 1] * v + z[k + 1] - aa[k + 1] * y
-        out[i] = y
-    return out
+def impulse_response(b: np.ndarray, a: np.ndarray, least: float = 1e-18) -> np.ndarray:
+    """What the filter gives for a one and zeros, until nothing of it is left in double precision."""
+    out, state = [], np.zeros(len(a) - 1)
+    x, quiet = 1.0, 0
+    while quiet < len(a):
+        y = b[0] * x + state[0]
+        state = np.append(state[1:], 0.0) + b[1:] * x - a[1:] * y
+        out.append(float(y))
+        x, quiet = 0.0, quiet + 1 if max(abs(y), np.abs(state).max()) < least else 0
+    return np.array(out)
 
 
-def _steady(b: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """The state in which a constant input of 1 gives a constant output."""
-    n = len(a) - 1
-    step = np.eye(n) - np.eye(n, k=1)
-    step[:, 0] += a[1:]
-    return np.linalg.solve(step, b[1:] - a[1:] * b[0])
+def _pass(x: np.ndarray, response: np.ndarray) -> np.ndarray:
+    """The filter's output if the first value had always been there before; it lets constants through as they are."""
+    return x[0] + np.convolve(x - x[0], response)[: len(x)]
 
 
-def zero_phase(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
+def zero_phase(x: np.ndarray, b: np.ndarray, a: np.ndarray, response: np.ndarray | None = None) -> np.ndarray:
     """Forward and backward, over an odd extension of three times the filter's length."""
     pad = 3 * max(len(a), len(b))
     if len(x) <= pad:
         raise ValueError(f"a series must have over {pad} samples")
+    response = impulse_response(b, a) if response is None else response
     wide = np.concatenate((2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]))
-    z = _steady(b, a)
-    once = _recursive(b, a, wide.tolist(), z * wide[0])[::-1]
-    return _recursive(b, a, once.tolist(), z * once[0])[::-1][pad:-pad]
+    return _pass(_pass(wide, response)[::-1], response)[::-1][pad:-pad]
 
 
 def butterworth(df: DataFrame, cutoff: float = 5.0, frequency: float = 50.0, order: int = 4, value: str = "value", out: str = "butterworth", halo: int = 1024) -> DataFrame:
@@ -107,12 +111,13 @@ def butterworth(df: DataFrame, cutoff: float = 5.0, frequency: float = 50.0, ord
     if not 0 < cutoff < frequency / 2:
         raise ValueError("the cutoff must lie below half the sampling frequency")
     b, a = butterworth_coefficients(order, cutoff / (frequency / 2))
+    response = impulse_response(b, a)
     narrow = with_halo(df.select(*SERIES, "sample_index", value), halo, halo)
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("sample_index")
         x = t.column(value).to_numpy().astype(float)
-        y = zero_phase(x, b, a) if len(x) > 3 * len(a) else [None] * len(x)  # too short to be filtered
+        y = zero_phase(x, b, a, response) if len(x) > 3 * len(a) else [None] * len(x)  # too short to be filtered
         t = t.select([*SERIES, "sample_index", "own"]).append_column(out, pa.array(y, pa.float64()))
         return t.filter(t.column("own")).drop_columns(["own"])
 
@@ -134,9 +139,11 @@ def apply_filter(df: DataFrame, name: str, p: Filters = Filters(), frequency: fl
 
 
 def apply_all(df: DataFrame, p: Filters = Filters(), frequency: float = 50.0) -> DataFrame:
-    for name in FILTERS:
-        df = apply_filter(df, name, p, frequency)
-    return df
+    """All four. The row-frame filters share one halo, so one partitioning and one sort."""
+    reach = max(p.window, p.savgol_window)
+    halo = _moving_average(with_halo(df, reach, reach), p.window, "value", "moving_average")
+    halo = _median(_savitzky_golay(halo, p.savgol_window, p.savgol_order, "value", "savitzky_golay"), p.window, "value", "median")
+    return butterworth(own_rows(halo), p.cutoff, frequency, p.order)
 
 
 def prepared(df: DataFrame, name: str, n: int = 100, p: Filters = Filters()) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undula.config import FILTERS, SERIES, Spectral
@@ -19,6 +19,16 @@ def write_csv(df: DataFrame, path: str, order: list[str] | None = None, one_file
     (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_texts(spark: SparkSession, texts: dict[str, str], path: str, suffix: str) -> None:
+    """Small texts as files of their names, wherever the path is."""
+    jvm = spark.sparkContext._jvm
+    for name, text in texts.items():
+        to = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}{suffix}")
+        out = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(to, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+
 def write_filtered(filtered: DataFrame, path: str, csv: str | None = None) -> None:
     """time, raw_wavelength_shift and the four filters, by dataset and channel."""
     made = filtered.select(*SERIES, "sample_index", "time", F.col("value").alias("raw_wavelength_shift"), *FILTERS)
