@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from undula.config import SERIES, Detectors, Parameters, Refinement, Rules, Sampling
 from undula.functions import sql as sql_functions
-from undula.lineage import cut
+from undula.lineage import cut, new_path
 from undula.operators import detectors, evaluate, events, features, filters, islands, legacy, matching, noise
 from undula.operators.preprocess import baseline, clean, preprocess, wavelength_shift
 from undula.plans import plots
-from undula.sources import readers
+from undula.sources import readers, sinks
 
 #: Event values are spread like an exponential; these give runs.
 LOOSE = Detectors(threshold_multiplier=0.8, derivative_multiplier=0.3, change_point_threshold=1.0, min_samples=2)
@@ -43,31 +43,44 @@ def _windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _by_series():
-    from pyspark.sql import Window
-
     return Window.partitionBy(*SERIES)
 
 
-def _three(spark: SparkSession, sf: str) -> DataFrame:
-    return detectors.run_detectors(readers.ev_type(spark, sf), ("threshold", "derivative", "change_point"), LOOSE)
+def _regions(spark: SparkSession, sf: str) -> DataFrame:
+    """The regions of all detectors in the series by type, which are numbered once."""
+    return cut(detectors.run_detectors(cut(readers.ev_type(spark, sf), "series"), p=LOOSE), "regions")
+
+
+def _filtered(spark: SparkSession, sf: str) -> DataFrame:
+    return cut(filters.apply_all(preprocess(readers.ev_type(spark, sf)).select(*SERIES, "sample_index", "time", "value")), "filtered")
 
 
 def _long(spark: SparkSession, sf: str) -> DataFrame:
-    made = preprocess(readers.ev_type(spark, sf)).select(*SERIES, "sample_index", "time", "value")
-    for name in ("moving_average", "median"):
-        made = filters.apply_filter(made, name)
-    return noise.long_filters(made, names=("moving_average", "median"))
+    return noise.long_filters(_filtered(spark, sf))
+
+
+_USER = replace(LOOSE_ALL, detectors=replace(LOOSE, baseline_samples=16), sampling=Sampling(baseline_samples=16))
 
 
 def _found(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     signal = cut(filters.savitzky_golay(readers.ev_user(spark, sf)).select(*SERIES, "sample_index", "time", F.col("savitzky_golay").alias("value")), "signal")
-    p = replace(LOOSE_ALL, detectors=replace(LOOSE, baseline_samples=16), sampling=Sampling(baseline_samples=16))
-    return signal, cut(events.ensemble_events(signal, p=p), "events")
+    return signal, cut(events.ensemble_events(signal, p=_USER), "events")
+
+
+def _user_regions(s: DataFrame) -> DataFrame:
+    return cut(detectors.method_regions(s, "threshold", replace(LOOSE, baseline_samples=16)), "regions")
 
 
-def _user_regions(spark: SparkSession, sf: str) -> DataFrame:
-    s = readers.ev_user(spark, sf)
-    return detectors.method_regions(s, "threshold", replace(LOOSE, baseline_samples=16))
+def _recordings(spark: SparkSession, sf: str) -> str:
+    """A folder with a recording for each type of event: the value, twice the value, and every fifth a word that isn't a number."""
+    e = readers.ev_type(spark, sf)
+    v = F.col("value").cast("string")
+    cells = [F.col("time").cast("string"), *[F.lit("1")] * 4, v, (2 * F.col("value")).cast("string"), F.when(F.col("sample_index") % 5 == 0, "none").otherwise(v)]
+    path = new_path(spark, "recordings")
+    lines = e.repartition("channel").sortWithinPartitions("channel", "sample_index").select(F.col("channel").alias("name"), F.concat_ws("\t", *cells).alias("line"))
+    lines.write.partitionBy("name").text(f"{path}/parts")
+    sinks.gather_files(spark, f"{path}/parts", f"{path}/raw", ".txt")
+    return f"{path}/raw"
 
 
 def s_series(spark, sf):
@@ -98,6 +111,37 @@ def f_butterworth(spark, sf):
     return rounded(filters.butterworth(readers.ev_type(spark, sf)).select(*SERIES, "sample_index", "butterworth"))
 
 
+def s_recordings(spark, sf):
+    """Written as recordings and read as such."""
+    return rounded(readers.samples(readers.read_raw(spark, _recordings(spark, sf))))
+
+
+def s_filtered(spark, sf):
+    """All four filters, written as CSV and read again."""
+    path = new_path(spark, "filtered")
+    sinks.write_filtered(_filtered(spark, sf), f"{path}/parquet", f"{path}/csv")
+    return rounded(readers.read_filtered(spark, f"{path}/csv"))
+
+
+def s_events(spark, sf):
+    """The events as CSV, read again; of what is empty there, the reason."""
+    signal, found = _found(spark, sf)
+    path = new_path(spark, "found")
+    sinks.write_events(found, events.channel_summary(signal, found, 16), path)
+    return rounded(spark.read.schema(events.as_table(found).schema).option("header", True).csv(f"{path}/events_all_datasets").fillna("", ["rejection_reason"]))
+
+
+def j_summary(spark, sf):
+    signal, found = _found(spark, sf)
+    return rounded(events.channel_summary(signal, found, 16))
+
+
+def n_experiment(spark, sf):
+    """Filter metrics from recordings, all channels and filters."""
+    samples = readers.samples(readers.read_raw(spark, _recordings(spark, sf)))
+    return rounded(noise.experiment_metrics(samples))
+
+
 def n_noise_reduction(spark, sf):
     return rounded(noise.noise_reduction(_long(spark, sf)))
 
@@ -149,46 +193,36 @@ def r_persistent(spark, sf):
 
 
 def m_match_groups(spark, sf):
-    g = matching.match_groups(_three(spark, sf), 5)
+    g = matching.match_groups(_regions(spark, sf), 5)
     return g.groupBy(*SERIES, "island").agg(F.min("start_index").alias("start_index"), F.max("end_index").alias("end_index"), F.count("*").alias("regions"), F.array_join(F.array_sort(F.collect_set("method")), "|").alias("methods")).drop("island")
 
 
 def m_support_zones(spark, sf):
-    return matching.support_zones(matching.match_groups(cut(_three(spark, sf), "regions"), 5)).drop("island")
+    return matching.support_zones(matching.match_groups(_regions(spark, sf), 5)).drop("island")
 
 
 def m_events(spark, sf):
-    g = matching.numbered(matching.split_groups(matching.match_groups(cut(_three(spark, sf), "regions"), 5), 3))
+    g = matching.numbered(matching.split_groups(matching.match_groups(_regions(spark, sf), 5), 3))
     return g.groupBy("event_id").agg(F.min("start_index").alias("start_index"), F.max("end_index").alias("end_index"), F.count("*").alias("regions"))
 
 
 def m_overlap(spark, sf):
+    """All regions of the two methods that meet, by position."""
     sql_functions.register(spark)
-    t = _three(spark, sf).filter("region_idx < 40").select("channel", "method", "region_idx", "start_index", "end_index")
-    a, b = t.filter("method = 'threshold'").alias("a"), t.filter("method = 'derivative'").alias("b")
-    both = a.join(b, (F.col("a.channel") == F.col("b.channel")) & (F.col("a.region_idx") == F.col("b.region_idx")))
-    cols = "a.start_index, a.end_index, b.start_index, b.end_index"
-    return rounded(both.selectExpr("a.channel AS channel", "a.region_idx AS region_idx", f"overlap_fraction({cols}) AS overlap", f"regions_adjacent({cols}, 5) AS near"))
-
-
-def m_overlap_all(spark, sf):
-    """All regions of the two methods that meet, by position. m_overlap pairs the first forty by number, as its SQL says."""
-    sql_functions.register(spark)
-    t = cut(_three(spark, sf), "regions").select(*SERIES, "method", "region_idx", "start_index", "end_index")
+    t = _regions(spark, sf).select(*SERIES, "method", "region_idx", "start_index", "end_index")
     both = matching.meeting(t.filter("method = 'threshold'"), t.filter("method = 'derivative'"), 5)
     cols = "a.start_index, a.end_index, b.start_index, b.end_index"
     return rounded(both.selectExpr("channel", "a.region_idx AS region_idx", "b.region_idx AS other_idx", f"overlap_fraction({cols}) AS overlap", f"regions_adjacent({cols}, 5) AS near"))
 
 
 def e_evidence(spark, sf):
-    g = matching.match_groups(_three(spark, sf), 5).groupBy(*SERIES, "island").agg(F.collect_set("method").alias("methods"))
+    g = matching.match_groups(_regions(spark, sf), 5).groupBy(*SERIES, "island").agg(F.collect_set("method").alias("methods"))
     return rounded(g.groupBy(*SERIES, events.evidence(F.col("methods")).alias("evidence")).agg(F.count("*").alias("groups")))
 
 
 def b_refine(spark, sf):
-    s = readers.ev_user(spark, sf)
-    one = cut(_user_regions(spark, sf), "regions")
-    c = one.select(*SERIES, F.format_string("%s-%s-%03d", *SERIES, "region_idx").alias("event_id"), "start_index", "end_index")
+    s = cut(readers.ev_user(spark, sf), "series")
+    c = _user_regions(s).select(*SERIES, F.format_string("%s-%s-%03d", *SERIES, "region_idx").alias("event_id"), "start_index", "end_index")
     made = events.refine(c, s, baseline(s, 16), LOOSE_ALL.refinement)
     return rounded(made.select("event_id", "original_start_index", "original_end_index", "start_index", "peak_index", "end_index", "peak_value", "recovery_tolerance"))
 
@@ -199,7 +233,7 @@ def j_events(spark, sf):
 
 def a_shape(spark, sf):
     signal, found = _found(spark, sf)
-    return rounded(features.shape_features(found.filter("accepted"), signal))
+    return rounded(features.shape_features(found.filter("accepted"), signal), 3)
 
 
 def a_trapezoid(spark, sf):
@@ -211,8 +245,8 @@ def a_entropy(spark, sf):
 
 
 def a_post_level(spark, sf):
-    s = readers.ev_user(spark, sf)
-    r = cut(_user_regions(spark, sf), "regions").withColumn("event_id", F.format_string("%s-%s-%03d", *SERIES, "region_idx"))
+    s = cut(readers.ev_user(spark, sf), "series")
+    r = _user_regions(s).withColumn("event_id", F.format_string("%s-%s-%03d", *SERIES, "region_idx"))
     # Regions of one series are kept apart by making each series its own dataset.
     r, s = (x.withColumn("dataset", F.col("channel")) for x in (r, s))
     return rounded(features.post_level(r, s).select("event_id", "post_impact_level", "residual_n_samples", "residual_reason"))
@@ -266,9 +300,12 @@ def v_per_channel(spark, sf):
 
 
 def v_channel_consistency(spark, sf):
-    s = readers.ev_user(spark, sf)
-    e = s.filter("value > 120").select("dataset", "channel", F.col("sample_index").cast("string").alias("event_id"), F.floor(F.col("time") / 50).cast("double").alias("peak_time"))
-    return rounded(evaluate.channel_consistency(e, s, 0.5))
+    signal, found = _found(spark, sf)
+    return rounded(evaluate.channel_consistency(found.filter("accepted"), signal, 30.0))
+
+
+def v_rejections(spark, sf):
+    return evaluate.rejections(_found(spark, sf)[1])
 
 
 def l_methods(spark, sf):
@@ -281,9 +318,9 @@ def g_histogram(spark, sf):
 
 
 _NAMES = (
-    "s_series p_clean p_shift f_moving_average f_savitzky_golay f_median f_butterworth n_noise_reduction n_filter_evaluation n_drift d_threshold d_derivative d_derivative_regions d_change_point d_peaks "
-    "d_simple_impacts d_study r_islands r_persistent m_match_groups m_support_zones m_events m_overlap m_overlap_all e_evidence b_refine j_events a_shape a_trapezoid a_entropy a_post_level t_time_domain "
-    "q_sampling_frequency q_spectrum q_dft q_spectral_features z_stft z_multidomain z_summary v_report v_per_channel v_channel_consistency l_methods g_histogram"
+    "s_series s_recordings s_filtered s_events p_clean p_shift f_moving_average f_savitzky_golay f_median f_butterworth n_noise_reduction n_experiment n_filter_evaluation n_drift d_threshold d_derivative d_derivative_regions d_change_point d_peaks "
+    "d_simple_impacts d_study r_islands r_persistent m_match_groups m_support_zones m_events m_overlap e_evidence b_refine j_events j_summary a_shape a_trapezoid a_entropy a_post_level t_time_domain "
+    "q_sampling_frequency q_spectrum q_dft q_spectral_features z_stft z_multidomain z_summary v_report v_per_channel v_channel_consistency v_rejections l_methods g_histogram"
 )
 
 

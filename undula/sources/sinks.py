@@ -29,6 +29,17 @@ def write_texts(spark: SparkSession, texts: dict[str, str], path: str, suffix: s
         out.close()
 
 
+def gather_files(spark: SparkSession, parts: str, to: str, suffix: str) -> None:
+    """Of folders that one task each has written, parts/key=name/, the files as to/name + suffix. Nothing is read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(parts).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(to))
+    for folder in fs.globStatus(path(f"{parts}/*=*")):
+        for i, file in enumerate(fs.globStatus(path(folder.getPath(), "part-*"))):
+            name = folder.getPath().getName().split("=", 1)[1]
+            fs.rename(file.getPath(), path(f"{to}/{name}{f'-{i}' if i else ''}{suffix}"))
+
+
 def write_filtered(filtered: DataFrame, path: str, csv: str | None = None) -> None:
     """time, raw_wavelength_shift and the four filters, by dataset and channel."""
     made = filtered.select(*SERIES, "sample_index", "time", F.col("value").alias("raw_wavelength_shift"), *FILTERS)
