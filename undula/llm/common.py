@@ -16,7 +16,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 
 #: Rows that go to a Python worker at a time, where the session doesn't say: texts are long, and each batch is held whole on both sides.
-BATCH_ROWS = "2000"
+BATCH_ROWS = "1000"
 _ROWS, _DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 

@@ -135,13 +135,21 @@ def write_store(docs: DataFrame, path: str, end_id: int = 0, vocabulary: str | N
                     ["key", "ids", "doc_id", "n_tokens", "leaves", "root"],
                 )
 
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            keep = []
+            for key in batch.column(0).to_pylist():
+                keep.append(key not in seen)
+                seen.add(key)
+            yield batch.filter(pa.array(keep))
+
     source = text_column(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes), 1)
     objects = map_batches(source, ["doc_id", "text"], _objects_schema(), rows)
-    # One shuffle carries chunks and recipes; each task holds all that may equal one another, sorted, and writes one bucket.
-    first = F.row_number().over(Window.partitionBy("key").orderBy("key")) == 1
-    dealt = objects.repartition(buckets, "key").withColumn("first", first).filter("first").drop("first")
+    # One shuffle carries chunks and recipes; each task holds all that may equal one another, whose names fit as buckets follow the input.
+    dealt = objects.repartition(buckets, "key").mapInArrow(once, _objects_schema())
     name = f"undula_objects_{uuid.uuid4().hex}"
     dealt.write.bucketBy(buckets, "key").option("compression", "snappy").option("path", f"{path}/objects").format("parquet").saveAsTable(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay
