@@ -12,7 +12,7 @@ the vocabulary allows, else four). The store is a folder of tables:
 
 Bytes cross the network once when written. Chunks that a task has already sent are not sent again, so a chunk that a
 third of all documents share comes about once from each task. Reading asks for each chunk once per part, joins on
-the buckets without moving the objects, and puts the documents of a part together, checking every root on the way.
+the buckets without moving or sorting the objects, and puts the documents of a part together, checking every root on the way.
 
 Defined results: null text is empty and is its end id alone; null ids come first; repeated rows are documents of their own,
 in the order of their roots; an empty table gives an empty store; further columns are not looked at. Ids are cast to long. Names of
@@ -93,7 +93,7 @@ def _let_go(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def write_store(docs: DataFrame, path: str, end_id: int = 0, vocabulary: str | None = None, width: int = 2, least: int = 128, bits: int = 9, greatest: int = 4096, part_tokens: int = 2_000_000, bucket_bytes: int = 64_000_000, special_as_text: bool = False) -> str:
+def write_store(docs: DataFrame, path: str, end_id: int = 0, vocabulary: str | None = None, width: int = 2, least: int = 128, bits: int = 9, greatest: int = 4096, part_tokens: int = 1_000_000, bucket_bytes: int = 64_000_000, special_as_text: bool = False) -> str:
     """Writes the store to path. width: bytes an id. There are as many buckets as shuffle partitions, or one for bucket_bytes of text if that
     is more."""
     spark = docs.sparkSession
@@ -211,7 +211,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     recipes = spark.read.parquet(f"{path}/recipes")
     chunks = _objects(spark, path, said["buckets"]).filter(F.col("ids").isNotNull()).select("key", "ids")
     asked = spark.read.parquet(f"{path}/recipes").select("part", F.explode("leaves").alias("key")).distinct()
-    sent = chunks.join(asked.hint("merge"), "key").select("part", "key", "ids")
+    sent = chunks.join(asked.hint("shuffle_hash"), "key").select("part", "key", "ids")
     roots = spark.read.parquet(f"{path}/manifest").filter("level = 1").select("part", F.col("root").alias("part_root"))
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
