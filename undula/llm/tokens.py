@@ -24,7 +24,7 @@ _WHOLE = "  | \n|\n |\n\n|[^\n\x20-\x7e\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xba\xbb\x
 _MARKED = r"^(?P<word>[\x00\n]?\pL+)(?P<marks>[!-&(-/:-@\[-`{-~]+)$"
 _KEPT = 150_000
 #: Bytes of text that are encoded at a time; a longer text is one such part.
-PART = 1_500_000
+PART = 2_000_000
 
 _loaded: dict[tuple[str, bool], Encoder] = {}
 
