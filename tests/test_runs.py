@@ -162,6 +162,30 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     assert sorted(str([r[c] for c in order]) for r in got.collect()) == sorted(str([dict(zip(columns, r, strict=True))[c] for c in order]) for r in want.fetchall())
 
 
+@pytest.fixture(scope="module")
+def equal_times(tmp_path_factory):
+    """Events some of which have the time of another of their type, with its value or another, behind the baselines."""
+    import duckdb
+
+    folder = tmp_path_factory.mktemp("equal_times")
+    more = "SELECT event_id + 1000000 AS event_id, * EXCLUDE (event_id, value), value + event_id % 3 * 40 AS value FROM e WHERE event_id > 600 AND event_id % 25 < 3"
+    duckdb.sql(f"COPY (WITH e AS (FROM '/root/testdata/sf0.001/events.parquet') SELECT event_id, * EXCLUDE (event_id, value), value FROM e UNION ALL {more}) TO '{folder}/events.parquet'")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["d_derivative"])
+def test_query_equals_its_sql_at_equal_times(spark, equal_times, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS FROM '{equal_times}/events.parquet'")
+    want = con.execute(oracle.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = queries.queries()[name](spark, equal_times)
+    rows = sorted(str([r[c] for c in columns]) for r in got.collect())
+    assert rows and rows == sorted(str(list(r)) for r in want.fetchall())
+
+
 @pytest.mark.skipif("RECORDINGS" not in os.environ, reason="RECORDINGS: a folder with the published recordings, tables beside it in RESULTS")
 @pytest.mark.parametrize("name", ["expert7", "expert12"])
 def test_published_results(spark, name):

@@ -51,6 +51,15 @@ def test_filters_equal_models_with_and_without_block_borders(spark, monkeypatch,
     assert values(detectors.derivative(df, size=size), "derivative") == pytest.approx(slope)
 
 
+def test_slopes_at_equal_times(spark):
+    rows = [("a", "FBG2", i, float(t), float(v)) for i, (t, v) in enumerate(zip([0, 0, 1, 1, 2, 2, 2, 3, 3], [1, 3, 3, 3, 5, 2, 2, 4, 1], strict=True))]
+    got = values(detectors.derivative(spark.createDataFrame(rows, SCHEMA)), "derivative")
+    inf, nan = float("inf"), float("nan")
+    assert got == pytest.approx([inf, inf, nan, nan, -inf, nan, nan, -inf, -inf], nan_ok=True)
+    with pytest.raises(Exception, match="time must not fall"):
+        detectors.derivative(spark.createDataFrame([("a", "FBG2", i, t, 0.0) for i, t in enumerate([0.0, 2.0, 1.0])], SCHEMA)).collect()
+
+
 def test_zero_phase_keeps_slow_and_removes_fast(spark):
     t = np.arange(400) / 50
     slow, fast = np.sin(2 * np.pi * 0.5 * t), np.sin(2 * np.pi * 20 * t)

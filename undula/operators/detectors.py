@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from undula.config import METHODS, SERIES, Detectors
@@ -24,17 +24,23 @@ def threshold_mask(df: DataFrame, n: int = 100, k: float = 4.0) -> DataFrame:
     return made.withColumn("mask", F.abs(F.col("value") - F.col("mu")) > F.col("threshold"))
 
 
+def _quotient(a: Column, b: Column) -> Column:
+    """a / b as floating point has it, where b isn't negative: over zero infinite with a's sign, and NaN for zero."""
+    return F.when(b == 0, a * float("inf")).otherwise(F.try_divide(a, b))
+
+
 def derivative(df: DataFrame, value: str = "value", keys: list[str] = SERIES, size: int = SAMPLES) -> DataFrame:
-    """derivative: second-order differences over uneven time, first-order at the ends; time must rise."""
+    """derivative: second-order differences over uneven time, first-order at the ends. Samples of equal time have the infinite slope of their
+    step, or NaN without one; time must not fall."""
     w = ordered(keys)
     halo = with_halo(df, 1, 1, size, keys)
     x, t = F.col(value), F.col("time")
     xl, xr, tl, tr = F.lag(value).over(w), F.lead(value).over(w), F.lag("time").over(w), F.lead("time").over(w)
     halo = halo.withColumns({"xl": xl, "xr": xr, "hs": t - tl, "hd": tr - t})
-    bad = (F.col("hs") <= 0) | (F.col("hd") <= 0)
+    bad = (F.col("hs") < 0) | (F.col("hd") < 0)
     hs, hd = F.col("hs"), F.col("hd")
-    inner = (hs * hs * F.col("xr") + (hd * hd - hs * hs) * x - hd * hd * F.col("xl")) / (hs * hd * (hs + hd))
-    slope = F.when(bad, F.raise_error(F.lit("time must be strictly increasing")).cast("double")).when(hs.isNull(), (F.col("xr") - x) / hd).when(hd.isNull(), (x - F.col("xl")) / hs).otherwise(inner)
+    inner = _quotient(hs * hs * F.col("xr") + (hd * hd - hs * hs) * x - hd * hd * F.col("xl"), hs * hd * (hs + hd))
+    slope = F.when(bad, F.raise_error(F.lit("time must not fall")).cast("double")).when(hs.isNull(), _quotient(F.col("xr") - x, hd)).when(hd.isNull(), _quotient(x - F.col("xl"), hs)).otherwise(inner)
     return own_rows(halo.withColumn("derivative", slope).drop("xl", "xr", "hs", "hd"))
 
 
