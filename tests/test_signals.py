@@ -284,3 +284,12 @@ def test_cross_channel_support_equals_pairs(spark):
     s = e.select("dataset", "channel", F.lit(0).alias("sample_index"), F.lit(0.0).alias("time"), F.lit(0.0).alias("value"))
     want = sum(any(o[1] != r[1] and abs(o[3] - r[3]) <= 0.5 for o in rows) for r in rows)
     assert evaluate.channel_consistency(e, s).first()["events_with_cross_channel_support"] == want
+
+
+@pytest.mark.parametrize("first", [0, 115, 1_000_000])
+def test_a_spread_that_equals_the_tolerance_is_within_it(spark, first):
+    at = {"e1": [0, 20, 0, 20], "e2": [20, 20, 0, 0], "e3": [0, 20, 20, 0], "e4": [0, 20], "e5": [0, 20, 0, 21], "e6": [7]}
+    rows = [("a", "FBG2", e, {f"m{k}": first + i for k, i in enumerate(x)}) for e, x in at.items()]
+    got = evaluate.timing(spark.createDataFrame(rows, "dataset string, channel string, event_id string, method_peak_indices map<string,long>")).collect()
+    spreads = [float(np.std(x)) for x in at.values() if len(x) > 1]
+    assert [tuple(r) for r in got] == [(6, pytest.approx(np.mean(spreads)), 10.0, 4)]

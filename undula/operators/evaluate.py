@@ -40,9 +40,15 @@ def agreement(accepted: DataFrame) -> DataFrame:
 
 
 def timing(accepted: DataFrame, tolerance: int = 10) -> DataFrame:
-    """Spread (population deviation, in samples) of the peaks that an event's methods imply, over events with two or more."""
-    each = accepted.select(*SERIES, "event_id", F.explode(F.map_values("method_peak_indices")).alias("at"))
-    spread = each.groupBy(*SERIES, "event_id").agg(F.stddev_pop("at").alias("s"), F.count("*").alias("n")).filter("n >= 2")
+    """Spread (population deviation, in samples) of the peaks that an event's methods imply, over events with two or more.
+
+    Sums of whole numbers, from an event's first peak on, are exact: a spread that equals the tolerance is within it, in any order.
+    """
+    at = F.map_values("method_peak_indices")
+    each = accepted.select(*SERIES, "event_id", F.explode(at).alias("at"), F.array_min(at).alias("least"))
+    d, n = (F.col("at") - F.col("least")).cast("double"), F.count("*")
+    s = F.sqrt(n * F.sum(d * d) - F.sum(d) * F.sum(d)) / n
+    spread = each.groupBy(*SERIES, "event_id").agg(s.alias("s"), n.alias("n")).filter("n >= 2")
     n = accepted.agg(F.count("*").alias("n_events"))
     made = spread.agg(F.avg("s").alias("mean_spread_samples"), F.percentile("s", F.lit(0.5)).alias("median_spread_samples"), F.when(F.count("*") > 0, F.count_if(F.col("s") <= tolerance)).alias("events_within_tolerance"))
     return n.withColumn("one", F.lit(1)).join(made.withColumn("one", F.lit(1)), "one").drop("one")
