@@ -196,7 +196,7 @@ def repeated(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", "d_derivative_regions d_study m_events m_match_groups".split())
+@pytest.mark.parametrize("name", "d_derivative_regions d_study m_events m_match_groups m_overlap".split())
 def test_query_equals_its_sql_on_repeated_events(spark, repeated, name):
     import duckdb
 
