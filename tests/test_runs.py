@@ -196,7 +196,7 @@ def repeated(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", "d_derivative_regions d_study e_evidence m_events m_match_groups m_overlap m_support_zones".split())
+@pytest.mark.parametrize("name", "d_derivative_regions d_study e_evidence l_methods m_events m_match_groups m_overlap m_support_zones".split())
 def test_query_equals_its_sql_on_repeated_events(spark, repeated, name):
     import duckdb
 
