@@ -211,6 +211,21 @@ def test_query_equals_its_sql_on_repeated_events(spark, repeated, name):
     assert rows == sorted(str(list(r)) for r in want.fetchall())
 
 
+def test_derivative_equals_its_sql_at_steep_slopes(spark, tmp_path):
+    """Slopes of 1e9 and more, from steps of a few microseconds, are rounded as in the SQL; some are infinite, some NaN."""
+    import duckdb
+
+    ts = "TIMESTAMP '2024-01-01' + to_microseconds((i * 7 + i % 5 * 3) // 10)"
+    duckdb.sql(f"COPY (SELECT i AS event_id, {ts} AS ts, i % 40 AS user_id, 'click' AS event_type, (i * 7919 % 100003 * 13)::DOUBLE / 3 * (i % 11 // 2) AS value FROM range(20000) r(i)) TO '{tmp_path}/events.parquet'")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+    want = {i: x for _, _, i, x in con.execute(oracle.oracle_sql()["d_derivative"]).fetchall()}
+    got = {r["sample_index"]: r["derivative"] for r in queries.queries()["d_derivative"](spark, str(tmp_path)).collect()}
+    shown = {str(x) for x in want.values()}
+    assert {"nan", "inf", "-inf"} <= shown and sum(1e9 < abs(x) < float("inf") for x in want.values()) > 5000
+    assert got.keys() == want.keys() and [i for i in want if str(got[i]) != str(want[i])] == []
+
+
 @pytest.mark.skipif("RECORDINGS" not in os.environ, reason="RECORDINGS: a folder with the published recordings, tables beside it in RESULTS")
 @pytest.mark.parametrize("name", ["expert7", "expert12"])
 def test_published_results(spark, name):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from undula.config import SERIES, Detectors, Parameters, Refinement, Rules, Sampling
@@ -21,8 +21,18 @@ LOOSE_ALL = Parameters(detectors=LOOSE, refinement=Refinement(noise_std=1.0), ru
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, and minus zero as zero, so that results compare exactly."""
-    return df.select(*[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles rounded, and minus zero as zero, so that results compare exactly.
+
+    As the SQL does it: times a power of ten, to whole numbers, and back. Rounding the decimal text of a double differs from that
+    where the product is rounded to a half itself, in slopes of 1e9 for one.
+    """
+    power = 10.0**digits
+
+    def one(x: Column) -> Column:
+        y = F.round(x * power) / power
+        return F.when(F.abs(y) < float("inf"), y).otherwise(x) + F.lit(0.0)
+
+    return df.select(*[one(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _gaps(df: DataFrame) -> DataFrame:
